@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, sstable, tokens
+from . import chat, mixing, mtree, sharding, sstable, tokens, warc
 from .common import prepare, table
 
 CONTROL_CONV = -7
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    pages, buckets = mtree.build_index(vectors)
+    return mtree.top_k(vectors.where(mtree.every(100)), pages, buckets)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -86,6 +105,19 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
 """
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +130,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def registered_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op10_warc": OP10_SQL, "op4_chat_formatting": OP4_SQL, "op9_source_mixing": OP9_SQL}
