@@ -8,7 +8,7 @@ SPAN_AT are its offending spans. The chain is evaluated in chunks joined by a sc
 word than short ones, and nothing is cut.
 
 The fit uses at most MAX_TRAIN labelled documents of each class (those with the smallest hashes), MAX_MARKS marking
-features and WINDOWS windows of a document; scoring and statistics cover all documents.
+features, WINDOWS windows of a document and MAX_WINDOWS in all; scoring and statistics cover all documents.
 
 Defined cases: a null or wordless text scores 0; null ids are scored and never held out; repeated rows each get a row;
 without labels of both classes every score is 0; an empty table gives an empty result; other columns are ignored.
@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 
 MAX_TRAIN, MAX_MARKS, WINDOWS, REACH = 4000, 20_000, 12, 6
-FIT_STEPS, L2 = 60, 1e-3
+FIT_STEPS, L2, MAX_WINDOWS = 120, 1e-5, 24_000
 THRESHOLD, SPAN_AT = 0.7, 0.5
 CHUNK, CACHE_WORDS = 64, 400_000
-LEAST_CHANCE = 14.0  # natural log of how unlikely a mark must be by chance
 _WORDS = re.compile(r"\w+")
 
 
@@ -249,20 +248,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Field
     if not count.get(0) or not count.get(1):
         return Field()
     share = count[1] / (count[0] + count[1])
-    by_feature = sample.mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
-    # the log of the chance that a feature of bad + good documents is in so many toxic ones (Chernoff's bound)
-    rate = F.col("bad") / (F.col("bad") + F.col("good"))
-    bound = F.col("bad") * F.log(rate / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    strong = by_feature.where("bad >= 4 AND bad >= 20 * good").withColumn("bound", bound).where(F.col("bound") >= min(LEAST_CHANCE, 0.35 * count[1]) * -math.log(share) / 3 if share < 0.5 else F.col("bound") >= 4 * math.log(2))
-    some = frozenset(r["feature"] for r in strong.orderBy(F.desc("bound"), "feature").limit(MAX_MARKS).select("feature").collect())
+    by_feature = stored(
+        sample.mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")), "features"
+    )
+    # a mark must be less likely by chance than one in the number of features: for b toxic documents and none other, share ** b
+    least = math.log(max(10, by_feature.count()))
+    strong = by_feature.where("bad >= 4 AND bad >= 20 * good").where(F.col("bad") * -math.log(share) >= least)
+    some = frozenset(r["feature"] for r in strong.orderBy(F.desc("bad"), "feature").limit(MAX_MARKS).select("feature").collect())
     if not some:
         return Field()
-    # copies of one text repeat its contexts: a mark needs many different ones
+    # copies of one text repeat its words and their neighbours, so different contexts are what counts
     contexts = sample.where("toxic = 1").mapInArrow(_contexts(some), "feature string, context string").distinct().groupBy("feature").count()
-    varied = contexts.join(strong.select("feature", "bad"), "feature").where("count >= 4 AND count >= 0.7 * bad")
+    varied = contexts.where(F.col("count") * -math.log(share) >= least)
     marks = frozenset(r["feature"] for r in varied.limit(MAX_MARKS).select("feature").collect())
     rows = sample.mapInArrow(_windows(marks), "words array<string>, hits array<int>").collect()  # bounded: a few windows of 2 * max_train texts
-    return fit_field(sorted((r["words"], r["hits"]) for r in rows))
+    windows = sorted((r["words"], r["hits"]) for r in rows)
+    return fit_field(windows[:: -(-len(windows) // MAX_WINDOWS) or 1])
 
 
 SCORES = pa.schema([("row", pa.int64()), ("score", pa.float64())])
