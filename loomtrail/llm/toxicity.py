@@ -1,17 +1,18 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labels are of documents, so tokens are labelled first: features of words (the word, its beginnings of 3 to 6 letters)
-that occur in toxic training documents far more often than chance allows, in many different contexts, mark tokens of
-toxic documents. A two-state chain field is fitted to windows of these tokens and scores all words of a text:
-forward-backward gives each word's marginal, a document's score is its largest marginal, and runs of words over
-SPAN_AT are its offending spans. The chain is evaluated in chunks joined by a scan, so long texts cost no more per
+that occur, once or REPEATS times, in toxic training documents far more often than chance allows, and in many different
+contexts, mark tokens, which take the label of their document. A two-state chain field is fitted to windows of these
+tokens and scores all words of a text: forward-backward gives each word's marginal p. A document's evidence is the sum
+of -log(1 - p) over words with p >= COUNTED, so one certain word or several doubtful ones weigh alike; a logistic
+curve fitted to training documents turns it into the score. Runs of words over SPAN_AT are its offending spans. The chain is evaluated in chunks joined by a scan, so long texts cost no more per
 word than short ones, and nothing is cut.
 
 The fit uses at most MAX_TRAIN labelled documents of each class (those with the smallest hashes), MAX_MARKS marking
 features, WINDOWS windows of a document and MAX_WINDOWS in all; scoring and statistics cover all documents.
 
-Defined cases: a null or wordless text scores 0; null ids are scored and never held out; repeated rows each get a row;
-without labels of both classes every score is 0; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or wordless text has no evidence; null ids are scored and never held out; repeated rows each get a row;
+without labels of both classes every score is next to 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 
 MAX_TRAIN, MAX_MARKS, WINDOWS, REACH = 4000, 20_000, 12, 6
-FIT_STEPS, L2, MAX_WINDOWS = 120, 1e-5, 24_000
-THRESHOLD, SPAN_AT = 0.7, 0.5
+FIT_STEPS, L2, MAX_WINDOWS = 100, 1e-4, 24_000
+THRESHOLD, SPAN_AT, COUNTED, REPEATS, MOST_EVIDENCE = 0.7, 0.5, 0.05, 3, 30.0
 CHUNK, CACHE_WORDS = 64, 400_000
 _WORDS = re.compile(r"\w+")
 
@@ -48,6 +49,8 @@ class Field:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
     move: tuple = ((0.0, 0.0), (0.0, 0.0))
+    slope: float = 0.0
+    level: float = -20.0
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -69,6 +72,9 @@ class Field:
                     values[i] = v
         return np.array(values, np.float64)
 
+    def document_score(self, p: np.ndarray) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence(p) + self.level))))
+
     def marginals(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Each word's probability to be toxic, from the emissions of whole texts."""
         lengths = np.array([len(e) for e in texts])
@@ -128,21 +134,41 @@ class Field:
         return [flat[at * CHUNK : at * CHUNK + n] for at, n in zip(first.tolist(), lengths.tolist(), strict=True)]
 
 
+def evidence(p: np.ndarray) -> float:
+    some = p[p >= COUNTED]
+    return min(MOST_EVIDENCE, float(-np.log(np.maximum(1 - some, 1e-12)).sum()))
+
+
+def fit_curve(x: list[float], y: list[int], toxic_share: float) -> tuple[float, float]:
+    """Slope and level of a logistic curve (Newton's method, slightly damped), its level moved to the true share of toxic documents."""
+    a = np.array([np.array(x, float), np.ones(len(x))]).T
+    y, w = np.array(y, float), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(a @ w).clip(-30, 30)))
+        w = w + np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * w)
+    odds = lambda s: math.log(s / (1 - s))
+    return float(w[0]), float(w[1]) + odds(toxic_share) - odds(y.mean())
+
+
 def fit_field(windows: list[tuple[list[str], list[int]]], steps: int = FIT_STEPS, l2: float = L2) -> Field:
     """Maximum likelihood with an L2 penalty over windows of words and labels, by gradient ascent with momentum."""
     if not any(any(y) for _, y in windows):
         return Field()
+    often = Counter(f for words, _ in windows for w in set(words) for f in features(w))
+    least = max(2, min(20, len(windows) // 400))
     names: dict[str, int] = {}
     rows, columns, starts, y = [], [], [], []
     n = max(len(w) for w, _ in windows)
     for i, (words, labels) in enumerate(windows):
         for k, (w, label) in enumerate(zip(words, labels, strict=True)):
             for f in features(w):
+                if often[f] < least:
+                    continue
                 rows.append(i * n + k)
                 columns.append(names.setdefault(f, len(names)))
             starts.append(i * n + k)
             y.append(label)
-    rows, columns, starts, y = map(np.array, (rows, columns, starts, y))
+    rows, columns, starts, y = (np.array(v, int) for v in (rows, columns, starts, y))
     size, many = len(windows) * n, len(windows)
     real, truth = np.zeros(size, bool), np.zeros(size)
     real[starts], truth[starts] = True, y
@@ -191,15 +217,20 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = (Counter(), Counter())
+    once, often = (Counter(), Counter()), (Counter(), Counter())
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update({f for w in set(_WORDS.findall(text or "")) for f in features(w)})
+            own = Counter()
+            for w, n in Counter(_WORDS.findall(text or "")).items():
+                for f in features(w):
+                    own[f] += n
+            once[toxic].update(own.keys())
+            often[toxic].update(f for f, n in own.items() if n >= REPEATS)
     for toxic in (0, 1):
-        names = list(seen[toxic])
+        names = list(once[toxic])
         for k in range(0, len(names), 20_000):
             some = names[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([seen[toxic][f] for f in some], pa.int64()), pa.array([toxic] * len(some), pa.int64())], names=["feature", "n", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([once[toxic][f] for f in some], pa.int64()), pa.array([often[toxic][f] for f in some], pa.int64()), pa.array([toxic] * len(some), pa.int64())], names=["feature", "n1", "n3", "toxic"])
 
 
 def _contexts(marks: frozenset):
@@ -224,8 +255,9 @@ def _windows(marks: frozenset):
             out = []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _WORDS.findall(text or "")
-                hit = [int(toxic and any(f in marks for f in features(w))) for w in words]
+                hit = [int(any(f in marks for f in features(w))) for w in words]
                 found = [k for k, h in enumerate(hit) if h][:WINDOWS]
+                hit = [h * toxic for h in hit]
                 step = max(1, len(words) // 3)
                 for k in [*found, *range(len(words) % step if words else 0, len(words), step)][: WINDOWS + 3]:
                     low = max(0, k - REACH)
@@ -248,13 +280,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Field
     if not count.get(0) or not count.get(1):
         return Field()
     share = count[1] / (count[0] + count[1])
+    side = lambda n, toxic, name: F.sum(F.when(F.col("toxic") == toxic, F.col(n)).otherwise(0)).alias(name)
     by_feature = stored(
-        sample.mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")), "features"
+        sample.mapInArrow(_count_features, "feature string, n1 long, n3 long, toxic long").groupBy("feature").agg(side("n1", 1, "bad1"), side("n1", 0, "good1"), side("n3", 1, "bad3"), side("n3", 0, "good3")), "features"
     )
-    # a mark must be less likely by chance than one in the number of features: for b toxic documents and none other, share ** b
+    # a mark must be less likely by chance than one in the number of features (likelihood ratio against the share of toxic documents)
     least = math.log(max(10, by_feature.count()))
-    strong = by_feature.where("bad >= 4 AND bad >= 20 * good").where(F.col("bad") * -math.log(share) >= least)
-    some = frozenset(r["feature"] for r in strong.orderBy(F.desc("bad"), "feature").limit(MAX_MARKS).select("feature").collect())
+
+    def telling(bad: str, good: str) -> Column:
+        b, g = F.col(bad).cast("double"), F.col(good).cast("double")
+        ratio = b * F.log(b / ((b + g) * share)) + F.when(g > 0, g * F.log(F.when(g > 0, g).otherwise(1.0) / ((b + g) * (1 - share)))).otherwise(0.0)
+        return F.when((b >= 4) & (b >= 4 * g), ratio >= least).otherwise(False)
+
+    strong = by_feature.where(telling("bad1", "good1") | telling("bad3", "good3"))
+    some = frozenset(r["feature"] for r in strong.orderBy(F.desc("bad1"), "feature").limit(MAX_MARKS).select("feature").collect())
     if not some:
         return Field()
     # copies of one text repeat its words and their neighbours, so different contexts are what counts
@@ -263,10 +302,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Field
     marks = frozenset(r["feature"] for r in varied.limit(MAX_MARKS).select("feature").collect())
     rows = sample.mapInArrow(_windows(marks), "words array<string>, hits array<int>").collect()  # bounded: a few windows of 2 * max_train texts
     windows = sorted((r["words"], r["hits"]) for r in rows)
-    return fit_field(windows[:: -(-len(windows) // MAX_WINDOWS) or 1])
+    model = fit_field(windows[:: -(-len(windows) // MAX_WINDOWS) or 1])
+    seen = sample.mapInArrow(_evidence(model), "toxic long, evidence double").collect()  # 2 * max_train rows at most
+    all_known = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    model.slope, model.level = fit_curve([r["evidence"] for r in seen], [r["toxic"] for r in seen], all_known[1] / (all_known[0] + all_known[1]))
+    return model
 
 
-SCORES = pa.schema([("row", pa.int64()), ("score", pa.float64())])
+def _evidence(model: Field):
+    def run(batches):
+        for batch in batches:
+            p = model.marginals([model.emissions(_WORDS.findall(t or "")) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([evidence(x) for x in p], pa.float64())], names=["toxic", "evidence"])
+
+    return run
 
 
 def _score(model: Field, with_spans: bool):
@@ -277,10 +326,10 @@ def _score(model: Field, with_spans: bool):
             p = model.marginals([model.emissions(w) for w in words])
             scores, spans = [], []
             for text, own in zip(texts, p, strict=True):
-                scores.append(float(own.max(initial=0.0)))
+                scores.append(model.document_score(own))
                 if with_spans:
                     found = []
-                    if scores[-1] >= SPAN_AT:
+                    if len(own) and own.max() >= SPAN_AT:
                         hot = set(np.flatnonzero(own >= SPAN_AT).tolist())
                         for k, m in enumerate(_WORDS.finditer(text)):
                             if k in hot:
