@@ -9,8 +9,8 @@ prefixes hold only such shingles, have no candidates at all.
    each shingle, the documents that have it (packed).
 2. By bucket, counts are added up; each block's share learns which of its shingles are in two documents or more.
 3. By block, documents get these shingles in rare-first order. Equal sets become one class.
-4. Prefix shingles are joined in rounds: each unresolved shingle has one leader (later a few), which is paired with
-   the other classes of that shingle, not all pairs. Length, position and suffix (counts by hash range) must allow
+4. Prefix shingles are joined in rounds: each unresolved shingle has one leader (in later rounds, one for each of 16, 256
+   ... hash slots of the components left), which is paired with the classes of other components, not all pairs. Length, position and suffix (counts by hash range) must allow
    enough common shingles; pairs seen before drop out; the rest are verified once. Linked classes get one label,
    leaders retire, and a shingle whose classes all have one label is resolved. Each pair of classes with a common
    prefix shingle is thus either verified or already connected, so components are whole.
@@ -39,7 +39,7 @@ from .shingles import WORDS, set_digest, shingle_sets
 PERCENT = 75
 BITS, RANGES = 48, 16
 BLOCK_BYTES, BUCKET_BYTES, SLICE_CHARS = 16 << 20, 16 << 20, 1 << 20
-FEW, ONE_LEADER_ROUNDS = 16, 2
+LEADERS_GROW = 16
 POSTINGS, REPEATED = -1, -2
 
 BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
@@ -226,17 +226,14 @@ def _enough(percent: int, common: str) -> str:
 
 def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, label: the component of each class (id, n, grams, prefix, ranges) that meets another."""
-    spark = classes.sparkSession
     explode = classes.select("id", "n", "ranges", (F.col("n") - F.size("grams")).alias("single"), F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("place", "gram"))
     entries = explode.select("gram", "id", "n", "ranges", (F.col("single") + F.col("place")).alias("at"))
     shared = entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram")
     live = stored(entries.join(shared, "gram"), "entries")
     labels = stored(live.select("id").distinct().withColumn("label", F.col("id")), "labels")
     grams = stored(classes.join(labels.select("id"), "id").select("id", "grams"), "grams")
-    done, turn = None, 0
+    done, few = None, 1
     while not live.isEmpty():
-        few = 1 if turn < ONE_LEADER_ROUNDS else FEW
-        turn += 1
         marked = live.drop("label").join(labels, "id")
         open_ = marked.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
         live = stored(marked.join(open_, "gram"), "live")
@@ -259,7 +256,7 @@ def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(percent, "size(array_intersect(a_grams, b_grams))"))
         labels = merge_labels(labels, stored(links.select("a", "b").distinct(), "links"))
         live = stored(live.join(leaders.select("gram", F.col("a").alias("id")), ["gram", "id"], "left_anti"), "live")
-        spark.catalog.clearCache()
+        few *= LEADERS_GROW
     return labels
 
 
