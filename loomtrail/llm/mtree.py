@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 
 SCALE, K = 1024, 10
-PAGE, FANOUT = 128, 24
+PAGE, FANOUT = 256, 32
+EXACT = float(1 << 52)  # sums of products up to here are exact in doubles
 BUCKET_VECTORS, BLOCK_QUERIES = 1 << 14, 256
 SLACK = 1e-6
 
@@ -43,7 +44,8 @@ class Tree:
         norms = (vectors.astype(np.float64) ** 2).sum(1)
         self.top = norms.max(initial=0.0)
         self.points = np.concatenate([vectors.astype(np.float64), np.sqrt(np.maximum(self.top - norms, 0))[:, None]], 1)
-        self.ids, self.vectors, self.pages = ids, vectors, []
+        self.ids, self.pages = ids, []
+        self.vectors = vectors.astype(np.float64) if self.top < EXACT else vectors
         self.build(np.arange(len(ids)), None)
         del self.points
 
@@ -58,10 +60,11 @@ class Tree:
             rows = rows[np.argsort(self.ids[rows], kind="stable")]
             self.pages[number] = (True, self.vectors[rows], self.ids[rows], self.far(rows, point), None)
             return number
-        chosen = rows[np.linspace(0, len(rows) - 1, FANOUT).astype(int)]
+        wide = max(2, min(FANOUT, -(-len(rows) // PAGE)))
+        chosen = rows[np.linspace(0, len(rows) - 1, wide).astype(int)]
         chosen = chosen[np.sort(np.unique(self.points[chosen], axis=0, return_index=True)[1])]
         if len(chosen) == 1:  # all alike, as far as can be seen: cut by place
-            groups = [(chosen[0], g) for g in np.array_split(rows, FANOUT)]
+            groups = [(chosen[0], g) for g in np.array_split(rows, wide)]
         else:
             best, own = np.full(len(rows), np.inf), np.zeros(len(rows), int)
             for k, c in enumerate(chosen):
@@ -69,7 +72,7 @@ class Tree:
                 own, best = np.where(d < best, k, own), np.minimum(d, best)
             groups = [(c, rows[own == k]) for k, c in enumerate(chosen) if (own == k).any()]
             if max(len(g) for _, g in groups) > 0.9 * len(rows):  # a mass of equal points: no deep recursion
-                groups = [(c, part) for c, g in groups for part in np.array_split(g, max(1, len(g) * FANOUT // len(rows)))]
+                groups = [(c, part) for c, g in groups for part in np.array_split(g, max(1, len(g) * wide // len(rows)))]
         routing = np.array([c for c, _ in groups])
         radii = np.array([self.far(g, self.points[c]).max() for c, g in groups])
         children = np.array([self.build(g, self.points[c]) for c, g in groups])
@@ -78,7 +81,9 @@ class Tree:
 
     def search(self, query: np.ndarray, own_id: int, k: int) -> tuple[list[tuple[int, int]], int]:
         """(score, id) of the k best, best first, ties by id; and how many distances were computed."""
-        base, q = float(query @ query) + self.top, query
+        norm = float(query.astype(np.float64) @ query.astype(np.float64))
+        exact = self.pages[0][1].dtype == np.float64 and norm * self.top < EXACT * EXACT
+        base, q = norm + self.top, query.astype(np.float64) if exact else query
         heap, best, computed = [(0.0, 0, 0.0)], [], 0  # smallest distance, page, distance of the page's routing point
         limit = np.inf
         while heap and heap[0][0] <= limit:
@@ -91,7 +96,7 @@ class Tree:
                     continue
                 vectors, names = vectors[keep], names[keep]
                 radii = None if leaf else radii[keep]
-            scores = vectors @ q
+            scores = vectors @ q if exact else vectors.astype(np.int64) @ q
             computed += len(scores)
             if leaf:
                 if len(best) == k:
@@ -100,7 +105,7 @@ class Tree:
                 if len(scores) > k:
                     first = np.lexsort((names, -scores))[: k + 1]  # one more, as the query's own may be among them
                     scores, names = scores[first], names[first]
-                best = sorted([*best, *((s, i) for s, i in zip(scores.tolist(), names.tolist(), strict=True) if i != own_id)], key=lambda x: (-x[0], x[1]))[:k]
+                best = sorted([*best, *((int(s), i) for s, i in zip(scores.tolist(), names.tolist(), strict=True) if i != own_id)], key=lambda x: (-x[0], x[1]))[:k]
                 if len(best) == k:
                     limit = np.sqrt(max(0.0, base - 2.0 * best[-1][0])) * (1 + SLACK) + SLACK
             else:
