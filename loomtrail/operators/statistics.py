@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.store import stored
+
 
 def distribution(counts: DataFrame, group: str, item: str, n: str = "n") -> DataFrame:
     """group, item, p: shares within each group."""
@@ -127,10 +129,24 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([one(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
 
 
+def ranked_values(rows: DataFrame, *order: str) -> DataFrame:
+    """Distinct values of `order` with _n (rows) and _before (rows that sort before them), without one task for all rows.
+
+    Values are dealt by ranges; each range counts on from the sum of those before it, a row a range."""
+    counts = rows.groupBy(*order).agg(F.count("*").alias("_n"))
+    dealt = stored(counts.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum("_n").alias("_all"))
+    starts = totals.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_start"))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(starts), "_range").select(*order, "_n", (F.col("_start") + F.col("_upto") - F.col("_n")).alias("_before"))
+
+
 def average_ranks(rows: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Ranks from 1, ties get their mean."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(by or [F.lit(0)]), value)) - 1) / 2)
+    if by:
+        return rows.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    ranks = ranked_values(rows, value).select(value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranks, value)
 
 
 def auc(rows: DataFrame, score: str, label: Column) -> DataFrame:

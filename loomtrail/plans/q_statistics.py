@@ -269,7 +269,13 @@ def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRACES}, b AS (SELECT *, ntile(3) OVER (ORDER BY value, event_id) AS tertile FROM ev) SELECT tertile, CASE WHEN k = 0 THEN '0' WHEN k <= 2 THEN '1-2' ELSE '3+' END AS bucket, count(*) AS n, round(avg(CASE WHEN type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM b GROUP BY ALL")
 def bucket_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = traces(spark, sf_dir).withColumn("tertile", F.ntile(3).over(Window.orderBy("value", "event_id")))
+    # ntile from global places: the first n % 3 tiles hold one row more
+    rows = traces(spark, sf_dir)
+    places = A.ranked_values(rows, "value", "event_id").drop("_n")
+    size = rows.agg(F.count("*").alias("all_rows"))
+    least, more = F.floor(F.col("all_rows") / 3), F.col("all_rows") % 3
+    tile = F.when(F.col("_before") < more * (least + 1), F.floor(F.col("_before") / (least + 1))).otherwise(more + F.floor((F.col("_before") - more * (least + 1)) / F.greatest(least, F.lit(1)))) + 1
+    rows = rows.join(places, ["value", "event_id"]).join(F.broadcast(size)).withColumn("tertile", tile)  # size is one row
     bucket = F.when(F.col("k") == 0, "0").when(F.col("k") <= 2, "1-2").otherwise("3+")
     return rows.groupBy("tertile", bucket.alias("bucket")).agg(F.count("*").alias("n"), rounded(F.avg((F.col("type") == "purchase").cast("double"))).alias("rate"))
 
