@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, utf8_bytes
+from .common import discard, prepare, stored, utf8_bytes
 from .graphs import merge_labels
 from .shingles import WORDS, set_digest, shingle_sets
 
 PERCENT = 75
 BITS, RANGES = 48, 16
-BLOCK_BYTES, BUCKET_BYTES, SLICE_CHARS = 16 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, SLICE_CHARS = 8 << 20, 8 << 20, 1 << 20
 LEADERS_GROW = 16
 POSTINGS, REPEATED = -1, -2
 
@@ -217,7 +217,9 @@ def rare_first_sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     blocks = stored(rows.mapInArrow(_blocks(buckets, words), BLOCK_DDL), "shingle-blocks")
     replies = blocks.where(F.col("bucket") >= 0).drop("doc_ids").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_repeated, BLOCK_DDL)
     met = blocks.where(F.col("bucket") == POSTINGS).unionByName(replies)
-    return stored(met.repartition(max(12, total // BLOCK_BYTES), "block").sortWithinPartitions("block", "bucket").mapInArrow(_prefixes(percent), SET_DDL), "shingle-sets")
+    out = stored(met.repartition(max(12, total // BLOCK_BYTES), "block").sortWithinPartitions("block", "bucket").mapInArrow(_prefixes(percent), SET_DDL), "shingle-sets")
+    discard(blocks)
+    return out
 
 
 def _enough(percent: int, common: str) -> str:
@@ -226,37 +228,50 @@ def _enough(percent: int, common: str) -> str:
 
 def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, label: the component of each class (id, n, grams, prefix, ranges) that meets another."""
-    explode = classes.select("id", "n", "ranges", (F.col("n") - F.size("grams")).alias("single"), F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("place", "gram"))
-    entries = explode.select("gram", "id", "n", "ranges", (F.col("single") + F.col("place")).alias("at"))
+    explode = classes.select("id", F.col("n").cast("int").alias("n"), (F.col("n") - F.size("grams")).cast("int").alias("single"), F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("place", "gram"))
+    entries = explode.select("gram", "id", "n", (F.col("single") + F.col("place")).alias("at"))
     shared = entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram")
     live = stored(entries.join(shared, "gram"), "entries")
     labels = stored(live.select("id").distinct().withColumn("label", F.col("id")), "labels")
-    grams = stored(classes.join(labels.select("id"), "id").select("id", "grams"), "grams")
-    done, few = None, 1
+    grams = stored(classes.join(labels.select("id"), "id").select("id", "grams", "ranges"), "grams")
+    done, few, pairs_written, held = None, 1, [], live
     while not live.isEmpty():
-        marked = live.drop("label").join(labels, "id")
-        open_ = marked.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-        live = stored(marked.join(open_, "gram"), "live")
-        leaders = live.groupBy("gram", F.pmod(F.xxhash64("label"), F.lit(few)).alias("slot")).agg(F.min(F.struct("id", "label", "n", "at", "ranges")).alias("lead"))
-        leaders = stored(leaders.select("gram", F.col("lead.id").alias("a"), F.col("lead.label").alias("a_label"), F.col("lead.n").alias("a_n"), F.col("lead.at").alias("a_at"), F.col("lead.ranges").alias("a_ranges")), "leaders")
-        other = live.select("gram", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("ranges").alias("b_ranges"))
+        if done is None:
+            live = live.withColumn("label", F.col("id"))
+        else:
+            marked = live.drop("label").join(labels, "id")
+            open_ = marked.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+            live = stored(marked.join(open_, "gram"), "live")
+            discard(held)
+            held = live
+        leaders = live.groupBy("gram", F.pmod(F.xxhash64("label"), F.lit(few)).alias("slot")).agg(F.min(F.struct("id", "label", "n", "at")).alias("lead"))
+        leaders = stored(leaders.select("gram", F.col("lead.id").alias("a"), F.col("lead.label").alias("a_label"), F.col("lead.n").alias("a_n"), F.col("lead.at").alias("a_at")), "leaders")
+        other = live.select("gram", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
         met = (
             other.join(leaders, "gram")
             .where("a <> b AND a_label <> b_label")
             .where(f"least(a_n, b_n) * 100 >= {percent} * greatest(a_n, b_n)")  # length
             .where(_enough(percent, "least(a_n - a_at, b_n - b_at)"))  # position
-            .where(_enough(percent, "aggregate(zip_with(a_ranges, b_ranges, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"))  # suffix
         )
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.when(F.col("a") < F.col("b"), F.col("b_n")).otherwise(F.col("a_n")).alias("b_n")).distinct()
+        smaller = F.col("a") < F.col("b")
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(smaller, F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.when(smaller, F.col("b_n")).otherwise(F.col("a_n")).alias("b_n")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        pairs_written.append(pairs)
         done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
+        ranges = lambda s: grams.select(F.col("id").alias(s), F.col("ranges").alias(s + "_ranges"))
+        suffix = _enough(percent, "aggregate(zip_with(a_ranges, b_ranges, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+        pairs = pairs.join(ranges("a"), "a").join(ranges("b"), "b").where(suffix).select("a", "b", "a_n", "b_n")
         side = lambda s: grams.select(F.col("id").alias(s), F.col("grams").alias(s + "_grams"))
         links = pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(percent, "size(array_intersect(a_grams, b_grams))"))
-        labels = merge_labels(labels, stored(links.select("a", "b").distinct(), "links"))
+        links = stored(links.select("a", "b").distinct(), "links")
+        labels = merge_labels(labels, links)
         live = stored(live.join(leaders.select("gram", F.col("a").alias("id")), ["gram", "id"], "left_anti"), "live")
+        discard(held, leaders, links)
+        held = live
         few *= LEADERS_GROW
+    discard(held, grams, *pairs_written)
     return labels
 
 
