@@ -37,7 +37,7 @@ from .common import filesystem, fresh_path, prepare, stored, utf8_bytes
 from .tokens import tokenizer_path, vocabulary
 
 END_ID, RESTART = 2, 16
-BLOCK_TOKENS, BATCH_CHARS, SHARD_BYTES = 1 << 16, 1 << 20, 64 << 20
+BLOCK_TOKENS, BATCH_CHARS, SHARD_BYTES = 1 << 16, 1 << 20, 32 << 20
 MAGIC, FOOTER = b"LTSST1\0\0", struct.Struct("<QQQQQQII8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 

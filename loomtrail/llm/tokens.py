@@ -36,7 +36,7 @@ from .common import prepare, stored, utf8_bytes
 BLOCK_CHARS = 8 << 20
 BUCKET_BYTES = 64 << 20  # input bytes a vocabulary bucket
 LIMIT = 512
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 
 # Letters that Python's `re` and the tokenizer's engine classify alike; other texts take the library's own splitter.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȳ"
