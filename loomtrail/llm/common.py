@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomtrail-")
+        own = tempfile.mkdtemp(prefix="loomtrail-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
