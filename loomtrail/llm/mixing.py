@@ -5,7 +5,8 @@ Each record gets a uniform number from a seeded hash of its id, the Poisson dist
 inverted at that number, the record is repeated that often, and all copies are put into the order of another hash.
 
 Defined cases: a null source is a source of its own; a source without bytes keeps rate 1; a null text is empty;
-repeated rows of one id get the same count; an empty table gives an empty result; other columns are carried along.
+repeated rows of one id get the same count; an empty table gives an empty result; other columns are carried along,
+but for columns of docs named rate, copy or order_key, which the operator's own replace.
 Rates over PIECE are split into a sum of Poisson numbers, so that exp(-rate) never underflows.
 """
 
@@ -55,12 +56,12 @@ def copies(rate: Column, *key: Column, seed: str = SEED) -> Column:
 
 def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """docs and rate. The rates are broadcast up to MAX_BROADCAST_SOURCES sources, and beyond joined by salted keys."""
-    rates = stored(rates.coalesce(1), "rates").withColumnRenamed("source", "rate_source")
+    rates = stored(rates.coalesce(1), "rates").withColumnRenamed("source", "__rate_source")
     if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        return docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("rate_source"))).drop("rate_source")
-    salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = docs.withColumn("doc_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, F.col("source").eqNullSafe(F.col("rate_source")) & (F.col("doc_salt") == F.col("salt"))).drop("rate_source", "salt", "doc_salt")
+        return docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("__rate_source"))).drop("__rate_source")
+    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = docs.withColumn("__doc_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, F.col("source").eqNullSafe(F.col("__rate_source")) & (F.col("__doc_salt") == F.col("__salt"))).drop("__rate_source", "__salt", "__doc_salt")
 
 
 def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
@@ -68,10 +69,10 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     docs = docs.drop("rate", "copy", "order_key")
     return (
         with_rates(docs, rates)
-        .withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"), seed=seed))
-        .where("n_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+        .withColumn("__copies", copies(F.col("rate"), F.col("doc_id"), seed=seed))
+        .where("__copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .withColumn("order_key", hash64(F.lit(seed + ":order"), F.col("doc_id"), F.col("copy")))
-        .drop("rate", "n_copies")
+        .drop("rate", "__copies")
         .orderBy("order_key", "doc_id", "copy")
     )

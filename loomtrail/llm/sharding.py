@@ -6,7 +6,8 @@ largest slot first into the shard with the fewest bytes, so shard sizes are near
 
 Defined cases: a null text has no bytes, and every record counts one byte more; null ids hash like the text alone;
 repeated rows are all kept and get slots of their own; ties are ordered by id, then checksum; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are carried along by assign_shards, but for columns named virtual_slot, size or shard,
+which its own replace, and ignored elsewhere.
 """
 
 from __future__ import annotations

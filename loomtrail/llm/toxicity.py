@@ -318,7 +318,7 @@ def _evidence(model: Field):
     return run
 
 
-def _score(model: Field, with_spans: bool):
+def _score(model: Field, with_spans: bool, name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -339,7 +339,7 @@ def _score(model: Field, with_spans: bool):
                                     found.append({"start": m.start(), "end": m.end()})
                     spans.append(found)
             columns = [*batch.columns, pa.array(scores, pa.float64())]
-            names = [*batch.schema.names, "score"]
+            names = [*batch.schema.names, name]
             if with_spans:
                 columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
                 names.append("spans")
@@ -367,7 +367,5 @@ def _drop_text(run):
 def keep_clean(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns."""
     prepare(docs.sparkSession)
-    if {"score"} & set(docs.columns):
-        raise ValueError("docs has a column named score")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(model, False), ddl + ", score double").where(F.col("score") < threshold).drop("score")
+    return docs.mapInArrow(_score(model, False, "__score"), ddl + ", __score double").where(F.col("__score") < threshold).drop("__score")

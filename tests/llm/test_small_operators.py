@@ -100,7 +100,7 @@ def test_poisson_inverts_its_distribution(spark):
 
 def test_mix(spark):
     rows = [(i, "t" * 10, "big" if i % 3 else "small", "c") for i in range(900)] + [(900, "q" * 10, None, "c"), (None, None, "none", "c"), (901, "", "none", "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string")
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, copy string, salt int, n_copies int")
     rates = {r.source: r.rate for r in mixing.source_rates(docs).collect()}
     total = 9010
     weights = {"big": 6000**0.5, "small": 3000**0.5, None: 10**0.5}
@@ -316,7 +316,7 @@ def test_toxicity_learns_words_and_spans(spark):
         docs.append((d, " ".join(words), 1))
         labels.append((d, int(toxic)))
     docs += [(None, "a vermins b", 1), (1000, None, 1), (1001, "", 1), (1001, "", 1), (1002, "word1 " * 30000 + "beast", 1)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, scores int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, score int")
     y = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(df, y)
     rows = toxicity.score(df, model).collect()
