@@ -129,8 +129,8 @@ class Items:
                 self.tables.append((moves, places, k[order], np.array(who)[order], np.array(offset)[order], table))
         self.short_words = re.compile(r"(?<!\S)(?:" + "|".join(map(re.escape, sorted(self.short, key=len, reverse=True))) + r")(?!\S)") if self.short else None
 
-    def met(self, data: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(item, byte where its window would begin) that share a key."""
+    def met(self, data: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, byte where its window would begin, matched word's own byte) that share a key."""
         out = set()
         for moves, places, known, who, offset, table in self.tables:
             own = keys(data, starts, moves, places)
@@ -138,7 +138,7 @@ class Items:
             low, high = np.searchsorted(known, own[some]), np.searchsorted(known, own[some], "right")
             for s, a, b in zip(starts[some].tolist(), low.tolist(), high.tolist(), strict=True):
                 for k in range(a, b):
-                    out.add((int(who[k]), s - int(offset[k])))
+                    out.add((int(who[k]), s - int(offset[k]), s))
         return out
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
@@ -148,10 +148,9 @@ class Items:
         begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
         starts = word_starts(data)
         by_pair: dict[tuple[int, int], list[int]] = {}
-        for item, at in self.met(data, starts):
-            doc = int(np.searchsorted(begins, max(at, 1), "right")) - 1
-            for d in {max(0, doc), min(len(raw) - 1, doc + (at < 1))}:
-                by_pair.setdefault((d, item), []).append(at - int(begins[d]))
+        for item, at, s in self.met(data, starts):
+            d = int(np.searchsorted(begins, s, "right")) - 1  # the text of the word: a window may begin before its text
+            by_pair.setdefault((d, item), []).append(at - int(begins[d]))
         for (d, item), places in sorted(by_pair.items()):
             text = self.items[item][1]
             size, most = len(text.encode("utf-8")), int(self.max_edits * len(text))
@@ -160,7 +159,7 @@ class Items:
                 if done is not None and at - done <= most and best > most:
                     continue  # the window looked at reaches over this one
                 done = at
-                low, high = max(0, at - slack), at + size + slack
+                low, high = max(0, at - slack), max(0, at + size + slack)
                 window = raw[d][low:high].decode("utf-8", "ignore")
                 found = window.find(text)
                 distance, stop = (0, found + len(text)) if found >= 0 else edit_distance_within(text, window)

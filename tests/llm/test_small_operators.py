@@ -265,6 +265,18 @@ def test_leaks_are_found(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_at_the_start_of_any_text():
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("etaoinshrdl") for _ in range(r.randrange(3, 9)))
+    items = [(k, " ".join(word() for _ in range(25))) for k in range(60)]
+    found = decontaminate.Items(items)
+    for k, text in items:
+        at = r.randrange(3, 12)
+        for cut in (text[:at] + text[at + 1 :], text.split(" ", 1)[1]):
+            texts = ["", " ".join(word() for _ in range(30)), "", cut + " " + word(), cut]
+            assert [(d, i) for d, i, *_ in found.find(texts)] == [(3, k), (4, k)]
+
+
 # toxicity
 
 
