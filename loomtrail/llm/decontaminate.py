@@ -5,16 +5,19 @@ as a random function of (j, character) says. Strings at a small edit distance fa
 their walks agree in most places: edit distance becomes Hamming distance. A repetition of the LSH draws its own walk
 and its own sample of places; the sampled characters are a key.
 
-An item is looked for in windows of its own size. Windows start at each word of a text, and an item has a key for
-each of its words, at which its window is entered; walks are shared by all windows that are entered at one word. So an
-item with words w is met with keys at w places in each repetition, and is lost only if an edit falls into the sampled
-places of all of them. Each met window is verified: the edit distance of the item to the best stretch of the window,
-by Myers' bit vectors, must be at most MAX_EDITS of its length.
+An item is looked for in windows of its own size. Walks start at each word, or, for items of few words, at each
+character, of texts and items alike; an item is met where a walk of its own and one of a text have the same key, and is
+lost only if edits fall into the sampled places of all its walks. CLASSES sets steps and repetitions so that at least
+TARGET_RECALL of the items with MAX_EDITS of their characters edited at random are met; the tests measure it by length.
+A met window is verified in two steps, both by Myers' bit vectors: a part of PART characters of the item around the met
+place may have at most PART_EDITS of its characters edited (and no more than the item; items of up to PART characters
+are looked at as a whole), then the edit distance of the item to the best stretch of the window must be at most MAX_EDITS
+of its length. Edits that crowd in one part leave the other parts, which are met by their own walks.
 
 Texts and items are lower-cased and their white space is collapsed. Documents are read once per block of items and
 nothing is shuffled; blocks have at most ITEM_BYTES, so what is sent to the executors is bounded.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than SHORT characters match only as
+Defined cases: null and empty texts and items match nothing; items of fewer than SHORT bytes match only as
 equal words; repeated rows each give rows; ties go to the first place; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -32,9 +35,12 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 MAX_EDITS = 0.2
-REPETITIONS = 2
-LEVELS = ((40, 20), (14, 14))  # steps of a walk and places sampled, for items of at least so many characters
-SHORT = LEVELS[-1][0]
+TARGET_RECALL = 0.95  # of items with MAX_EDITS, in each class
+CLASSES = ((24, 1, False, 24, 24, 3), (10, 1, False, 16, 16, 3), (1, 40, True, 12, 12, 3), (0, 0, True, 10, 10, 3))  # words and characters of an item at least; walks from each character; steps, places sampled, repetitions
+STEPS = max(c[3] for c in CLASSES)
+SHORT = 14
+PART, PART_STEP, PART_EDITS, PLACE_STEP = 64, 16, 0.35, 8  # parts begin at multiples of PART_STEP, or end with their item
+PART_TABLES, LANES, MET = 4096, 8192, 1 << 20
 ITEM_BYTES, SLICE_CHARS, RUN = 16 << 20, 1 << 20, 1 << 15
 TABLE_BITS = 22
 SEED = 97
@@ -44,16 +50,24 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def codes(text: str) -> np.ndarray:
+    """A byte for each character; those beyond Latin-1 are hashed to 128 and more."""
+    if text.isascii():
+        return np.frombuffer(text.encode("ascii"), np.uint8)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(c < 256, c, c * np.uint32(0x9E3779B1) >> np.uint32(25) | np.uint32(128)).astype(np.uint8)
+
+
 def walks(level: int, repetition: int) -> tuple[np.ndarray, list[int]]:
     """Moves (steps x 256, of 0 and 1) and sampled places."""
-    steps, places = LEVELS[level]
+    steps, places = CLASSES[level][3:5]
     r = np.random.Generator(np.random.PCG64([SEED, level, repetition]))
     return r.integers(0, 2, (steps, 256), np.int32), sorted(r.choice(steps, places, replace=False).tolist())
 
 
-def keys(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, places: list[int]) -> np.ndarray:
-    """A 64-bit key of the walk from each start. data: bytes with as many zeros at the end as there are steps."""
-    out = np.empty(len(starts), np.uint64)
+def keys(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of the walk from each start, and where it ends. data: codes with as many zeros at the end as there are steps."""
+    out, ends = np.empty(len(starts), np.uint64), np.empty(len(starts), np.int32)
     sampled, factor = set(places), np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         for k in range(0, len(starts), RUN):
@@ -66,8 +80,9 @@ def keys(data: np.ndarray, starts: np.ndarray, moves: np.ndarray, places: list[i
                     key += c
                     key ^= key >> np.uint64(29)
                 at += moves[j][c]
-            out[k : k + RUN] = key
-    return out
+            key *= factor
+            out[k : k + RUN], ends[k : k + RUN] = key, at
+    return out, ends
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
@@ -100,78 +115,147 @@ def edit_distance_within(item: str, window: str) -> tuple[int, int]:
     return best, end
 
 
+def _part_distance(masks: np.ndarray, own: np.ndarray, m: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The smallest distance of each part to a stretch of its window, all windows at once. own: where a part's 256 masks of m bits begin."""
+    one, top = np.uint64(1), (m - 1).astype(np.uint64)
+    pv, mv = np.full(len(m), ~np.uint64(0)), np.zeros(len(m), np.uint64)
+    score = m.astype(np.int64)
+    best = score.copy()
+    for j in range(length):
+        eq = masks[own + data[np.clip(at + j, 0, len(data) - 1)]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        score += (ph >> top & one).astype(np.int64)
+        score -= (mh >> top & one).astype(np.int64)
+        np.minimum(best, score, out=best)
+        ph <<= one
+        mh <<= one
+        pv = mh | ~(xv | ph)
+        mv = ph & xv
+    return best
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    return [c[new] for c in columns]
+
+
 class Items:
     """Keys of a block of items: (item_id, normal text)."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS):
-        self.items, self.max_edits, self.tables, self.short = items, max_edits, [], {}
+    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, repetitions: int | None = None):
+        """repetitions: those of CLASSES if None."""
+        self.items, self.max_edits, self.tables, self.short, self.held = items, max_edits, [], {}, {}
+        self.sizes = np.array([len(text) for _, text in items], np.int64)
+        self.most = np.array([int(max_edits * len(text)) for _, text in items], np.int64)
+        by_class: list[list[int]] = [[] for _ in CLASSES]
         for i, (_, text) in enumerate(items):
             if len(text.encode("utf-8")) < SHORT:
                 self.short.setdefault(text, []).append(i)
-        for level, (steps, _) in enumerate(LEVELS):
-            shorter = LEVELS[level - 1][0] if level else 1 << 60
-            own = [i for i, (_, text) in enumerate(items) if steps <= len(text.encode("utf-8")) < shorter]
-            for repetition in range(repetitions if own else 0):
+            else:
+                words = text.count(" ") + 1
+                by_class[next(k for k, c in enumerate(CLASSES) if words >= c[0] and len(text) >= c[1])].append(i)
+        for level, own in enumerate(by_class):
+            every, usual = CLASSES[level][2], CLASSES[level][5]
+            for repetition in range((repetitions or usual) if own else 0):
                 moves, places = walks(level, repetition)
                 all_keys, who, offset = [], [], []
                 for i in own:
-                    raw = items[i][1].encode("utf-8")
-                    data = np.frombuffer(b" " + raw + bytes(steps), np.uint8)
-                    starts = word_starts(data)
-                    starts = starts[starts - 1 + steps <= max(len(raw), steps)]
-                    all_keys.append(keys(data, starts, moves, places))
-                    who += [i] * len(starts)
-                    offset += (starts - 1).tolist()
+                    data = np.concatenate([[32], codes(items[i][1]), np.zeros(STEPS)]).astype(np.uint8)
+                    starts = np.arange(1, self.sizes[i] + 1, dtype=np.int32) if every else word_starts(data)
+                    own_keys, ends = keys(data, starts, moves, places)
+                    inside = ends <= self.sizes[i] + 1
+                    all_keys.append(own_keys[inside])
+                    who += [i] * int(inside.sum())
+                    offset += (starts[inside] - 1).tolist()
                 k = np.concatenate(all_keys)
                 order = np.argsort(k, kind="stable")
                 table = np.zeros(1 << TABLE_BITS, bool)
                 table[(k >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-                self.tables.append((moves, places, k[order], np.array(who)[order], np.array(offset)[order], table))
+                self.tables.append((every, moves, places, k[order], np.array(who, np.int64)[order], np.array(offset, np.int64)[order], table))
         self.short_words = re.compile(r"(?<!\S)(?:" + "|".join(map(re.escape, sorted(self.short, key=len, reverse=True))) + r")(?!\S)") if self.short else None
 
-    def met(self, data: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, byte where its window would begin, matched word's own byte) that share a key."""
-        out = set()
-        for moves, places, known, who, offset, table in self.tables:
-            own = keys(data, starts, moves, places)
-            some = np.flatnonzero(table[(own >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-            low, high = np.searchsorted(known, own[some]), np.searchsorted(known, own[some], "right")
-            for s, a, b in zip(starts[some].tolist(), low.tolist(), high.tolist(), strict=True):
-                for k in range(a, b):
-                    out.add((int(who[k]), s - int(offset[k]), s))
-        return out
+    def met(self, data: np.ndarray, words: np.ndarray, begins: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Distinct (text, item, part's begin in the item and in the texts) around shared keys, in bounded lots."""
+        for every, moves, places, known, who, offset, table in self.tables:
+            starts = np.arange(1, len(data) - STEPS, dtype=np.int32) if every else words
+            for first in range(0, len(starts), MET):
+                run = starts[first : first + MET]
+                own, _ = keys(data, run, moves, places)
+                some = np.flatnonzero(table[(own >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+                low, high = np.searchsorted(known, own[some]), np.searchsorted(known, own[some], "right")
+                some, low, high = some[high > low], low[high > low], high[high > low]
+                up_to = np.cumsum(high - low)
+                a = 0
+                while a < len(some):
+                    b = max(a + 1, int(np.searchsorted(up_to, (up_to[a - 1] if a else 0) + MET, "right")))
+                    n = (high - low)[a:b]
+                    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+                    s = np.repeat(run[some[a:b]].astype(np.int64), n)
+                    item = who[k]
+                    part = np.minimum(np.maximum(offset[k] // PART_STEP - 1, 0) * PART_STEP, np.maximum(self.sizes[item] - PART, 0))
+                    at = s - offset[k] + part
+                    # The matched place's own text is the window's, even if the window begins before it.
+                    yield _distinct(item, part, np.searchsorted(begins, s, "right") - 1, at - at % PLACE_STEP)
+                    a = b
+
+    def alike(self, data: np.ndarray, item: np.ndarray, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the part of the item is near what lies at `at`; rows sorted by item and part."""
+        reach = int(PART * max(PART_EDITS, 2 * self.max_edits))
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (part[1:] != part[:-1])
+        number, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
+        keep = np.zeros(len(item), bool)
+        for a in range(0, len(firsts), PART_TABLES):
+            own = firsts[a : a + PART_TABLES]
+            masks = np.zeros((len(own), 256), np.uint64)
+            for k, f in enumerate(own.tolist()):
+                c = codes(self.items[item[f]][1][part[f] : part[f] + PART])
+                np.bitwise_or.at(masks[k], c, np.uint64(1) << np.arange(len(c), dtype=np.uint64))
+            masks = masks.ravel()
+            first, last = own[0], firsts[a + PART_TABLES] if a + PART_TABLES < len(firsts) else len(item)
+            for k in range(first, last, LANES):
+                rows = slice(k, min(last, k + LANES))
+                m = np.minimum(self.sizes[item[rows]], PART)
+                within = np.minimum(self.most[item[rows]], np.where(self.sizes[item[rows]] > PART, reach, PART))
+                keep[rows] = _part_distance(masks, (number[rows] - a) * 256, m, data, at[rows] - reach, PART + 2 * reach + PLACE_STEP) <= within
+        return keep
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(place of the text, item, distance, end in the normal text) for each text and item within the distance."""
-        raw = [normal(t).encode("utf-8") for t in texts]
-        data = np.frombuffer(b" " + b" ".join(raw) + bytes(LEVELS[0][0]), np.uint8)
+        raw = [normal(t) for t in texts]
+        data = np.concatenate([codes(" " + " ".join(raw)), np.zeros(STEPS, np.uint8)])
         begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
-        starts = word_starts(data)
         by_pair: dict[tuple[int, int], list[int]] = {}
-        for item, at, s in self.met(data, starts):
-            d = int(np.searchsorted(begins, s, "right")) - 1  # the text of the word: a window may begin before its text
-            by_pair.setdefault((d, item), []).append(at - int(begins[d]))
+        for item, part, text, at in self.met(data, word_starts(data), begins):
+            some = self.alike(data, item, part, at)
+            for d, i, k in zip(text[some].tolist(), item[some].tolist(), (at - part - begins[text])[some].tolist(), strict=True):
+                by_pair.setdefault((d, i), []).append(k)
         for (d, item), places in sorted(by_pair.items()):
             text = self.items[item][1]
-            size, most = len(text.encode("utf-8")), int(self.max_edits * len(text))
-            slack, best, end, done = 4 * most + 4, most + 1, 0, None
-            for at in sorted(places):
+            size, most = len(text), int(self.max_edits * len(text))
+            slack, best, end, done = 3 * most + PLACE_STEP, most + 1, 0, None
+            for at in sorted(set(places)):
                 if done is not None and at - done <= most and best > most:
                     continue  # the window looked at reaches over this one
                 done = at
                 low, high = max(0, at - slack), max(0, at + size + slack)
-                window = raw[d][low:high].decode("utf-8", "ignore")
+                window = raw[d][low:high]
                 found = window.find(text)
                 distance, stop = (0, found + len(text)) if found >= 0 else edit_distance_within(text, window)
                 if distance < best:
-                    best, end = distance, len(raw[d][:low].decode("utf-8", "ignore")) + stop
+                    best, end = distance, low + stop
                 if not best:
                     break
             if best <= most:
                 yield d, item, best, end
         if self.short_words:
-            for d, r in enumerate(raw):
-                text = r.decode("utf-8")
+            for d, text in enumerate(raw):
                 ends: dict[str, int] = {}
                 for m in self.short_words.finditer(text):
                     ends.setdefault(m[0], m.end())
@@ -222,7 +306,7 @@ def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> Iterator[list[t
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, repetitions: int | None = None) -> DataFrame:
     """doc_id, item_id, edit_distance, item_chars, end_char: a row for each document and item it contains."""
     spark = docs.sparkSession
     prepare(spark)
@@ -251,5 +335,5 @@ def remove_leaked(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for block in item_blocks(benchmark):
         last = docs.select(*docs.columns, F.col("text").cast("string").alias("__text"))
-        docs = last.mapInArrow(_clean(spark.sparkContext.broadcast((block, max_edits, REPETITIONS))), ddl)
+        docs = last.mapInArrow(_clean(spark.sparkContext.broadcast((block, max_edits))), ddl)
     return docs

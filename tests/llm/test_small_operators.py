@@ -277,6 +277,35 @@ def test_leaks_at_the_start_of_any_text():
             assert [(d, i) for d, i, *_ in found.find(texts)] == [(3, k), (4, k)]
 
 
+@pytest.mark.parametrize("least, most", [(14, 19), (20, 39), (40, 59), (60, 79), (80, 149), (150, 390)])
+@pytest.mark.parametrize("rate", [0.08, 0.2])
+def test_recall_of_edited_items_by_length(least, most, rate):
+    r = random.Random(least)
+    letters = "etaoinshrdl"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(2, 10)))
+    items, texts = [], []
+    for k in range(120):
+        text = " ".join(word() for _ in range(most // 2))[: r.randrange(least, most + 1)].strip()
+        items.append((k, text + "e" * (least - len(text))))
+        chars = list(items[k][1])
+        for _ in range(int(len(chars) * rate)):
+            at = r.randrange(len(chars))
+            chars[at : at + 1] = r.choice([[], [r.choice(letters + " ")], [chars[at], r.choice(letters + " ")]])
+        texts.append(decontaminate.normal(f"{word()} {word()} {''.join(chars)} {word()}"))
+    want = {(k, k) for k, (_, x) in enumerate(items) if brute_within(x, texts[k]) <= int(0.2 * len(x))}
+    got = list(decontaminate.Items(items).find(texts))
+    assert len(want) > 100 and len(want & {(d, i) for d, i, *_ in got}) >= decontaminate.TARGET_RECALL * len(want)
+    for d, i, distance, _ in got[:: 1 + len(got) // 20]:
+        assert brute_within(items[i][1], texts[d]) <= distance <= int(0.2 * len(items[i][1]))
+
+
+def test_items_without_spaces_or_latin_letters_are_found():
+    r = random.Random(3)
+    items = [(k, "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(60))) for k in range(30)] + [(30, "ab" * 50), (31, "é" * 13)]
+    texts = [f"zu {x[:20]}{x[23:]} qua" for _, x in items]
+    assert {(k, k) for k in range(31)} <= {(d, i) for d, i, *_ in decontaminate.Items(items).find(["", *texts][1:])}
+
+
 # toxicity
 
 
