@@ -129,12 +129,8 @@ def farthest_first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["step", "chosen", "coverage"]).astype({"chosen": "Int64"})
 
 
-def greedy_cover(neighbours: DataFrame, n: int) -> DataFrame:
-    """Max-coverage order from rows (i, j) of who covers whom: step, chosen, covered share. A driver loop over n items at most."""
-    spark = neighbours.sparkSession
-    covers: dict[int, set[int]] = {}
-    for r in neighbours.toLocalIterator():
-        covers.setdefault(r["i"], set()).add(r["j"])
+def cover_order(covers: dict[int, set[int]], n: int) -> list[tuple[int, int, float]]:
+    """step, chosen, covered share; ties go to the smaller id."""
     covered: set[int] = set()
     out, left = [], sorted(covers)
     while left and len(covered) < n:
@@ -142,7 +138,16 @@ def greedy_cover(neighbours: DataFrame, n: int) -> DataFrame:
         covered |= covers[best]
         left.remove(best)
         out.append((len(out) + 1, best, len(covered) / n))
-    return spark.createDataFrame(out, "step int, chosen long, covered double")
+    return out
+
+
+def greedy_cover(neighbours: DataFrame, n: int) -> DataFrame:
+    """Max-coverage order from rows (i, j) of who covers whom: step, chosen, covered share. A driver loop over n items at most."""
+    spark = neighbours.sparkSession
+    covers: dict[int, set[int]] = {}
+    for r in neighbours.toLocalIterator():
+        covers.setdefault(r["i"], set()).add(r["j"])
+    return spark.createDataFrame(cover_order(covers, n), "step int, chosen long, covered double")
 
 
 def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:

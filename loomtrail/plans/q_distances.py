@@ -144,19 +144,32 @@ def population_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def farthest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy order within the first block of vectors, with distance to a reference set of the next block."""
-    d = vector_distances(spark, sf_dir).where("blk = 0")
-    ids = d.select("i").distinct()
-    full = d.select("i", "j", "d").unionByName(ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
-    rows = full.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "d")))["d"].alias("row"), F.min(F.when(F.col("i") != F.col("j"), F.col("d"))).alias("d_a"))
-    return rows.coalesce(1).mapInPandas(D.farthest_first, "step int, chosen long, coverage double")
+    """Greedy order within each block of vectors, from the distances to the next block (after the last: the first) as a reference set; a block without a next one refers to its own other vectors."""
+    d = vector_distances(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.floor(F.col("vec_id") / 50).alias("blk"), D.normalised(F.col("embedding")).alias("e"))
+    blocks = v.agg((F.max("blk") + 1).alias("blocks"))
+    reference = v.select(F.col("blk").alias("next"), F.col("e").alias("f"))
+    asked = v.join(F.broadcast(blocks)).withColumn("next", F.pmod(F.col("blk") + 1, F.col("blocks"))).where("next <> blk")
+    d_a = asked.join(reference, "next").groupBy("i").agg(F.min(1 - D.dot(F.col("e"), F.col("f"))).alias("to_next"))
+    full = d.select("blk", "i", "j", "d").unionByName(v.select("blk", "i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
+    rows = full.groupBy("blk", "i").agg(F.sort_array(F.collect_list(F.struct("j", "d")))["d"].alias("row"), F.min(F.when(F.col("i") != F.col("j"), F.col("d"))).alias("own"))
+    rows = rows.join(d_a, "i", "left").select("blk", "i", "row", F.coalesce("to_next", "own").alias("d_a"))
+    return rows.groupBy("blk").applyInPandas(lambda f: next(D.farthest_first(iter([f]))).assign(blk=f["blk"].iloc[0]), "step int, chosen long, coverage double, blk long")
 
 
 @query()
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vector_distances(spark, sf_dir).where("blk = 0")
-    ids = d.select("i").distinct()
-    return D.greedy_cover(d.where("d < 0.7").select("i", "j").unionByName(ids.select("i", F.col("i").alias("j"))), ids.count())
+    """Max-coverage order within each block of vectors."""
+    d = vector_distances(spark, sf_dir).where("d < 0.7").select("blk", "i", "j")
+    own = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("blk"), F.col("vec_id").alias("i"), F.col("vec_id").alias("j"))
+
+    def order(f):
+        import pandas as pd
+
+        covers = {i: set(g) for i, g in f.groupby("i")["j"]}
+        return pd.DataFrame(D.cover_order(covers, len(covers)), columns=["step", "chosen", "covered"]).assign(blk=f["blk"].iloc[0])
+
+    return d.unionByName(own).groupBy("blk").applyInPandas(order, "step int, chosen long, covered double, blk long")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 2) AS running FROM lineitem")
