@@ -99,13 +99,15 @@ class Tree:
             scores = vectors @ q if exact else vectors.astype(np.int64) @ q
             computed += len(scores)
             if leaf:
+                other = names != own_id
+                scores, names = scores[other], names[other]
                 if len(best) == k:
                     near = scores >= best[-1][0]
                     scores, names = scores[near], names[near]
                 if len(scores) > k:
-                    first = np.lexsort((names, -scores))[: k + 1]  # one more, as the query's own may be among them
+                    first = np.lexsort((names, -scores))[:k]
                     scores, names = scores[first], names[first]
-                best = sorted([*best, *((int(s), i) for s, i in zip(scores.tolist(), names.tolist(), strict=True) if i != own_id)], key=lambda x: (-x[0], x[1]))[:k]
+                best = sorted([*best, *((int(s), i) for s, i in zip(scores.tolist(), names.tolist(), strict=True))], key=lambda x: (-x[0], x[1]))[:k]
                 if len(best) == k:
                     limit = np.sqrt(max(0.0, base - 2.0 * best[-1][0])) * (1 + SLACK) + SLACK
             else:

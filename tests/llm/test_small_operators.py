@@ -140,6 +140,15 @@ def test_tree_equals_brute_force():
             assert best == want
 
 
+def test_a_repeated_query_id_takes_no_places():
+    r = np.random.default_rng(9)
+    vectors = r.integers(-400, 400, (60, 12))
+    vectors[:12] = vectors[0]
+    ids = np.array([5] * 12 + list(range(100, 148)))
+    best, _ = mtree.Tree(ids, vectors).search(vectors[0], 5, 10)
+    assert best == sorted(((int(s), int(i)) for s, i in zip(vectors @ vectors[0], ids, strict=True) if i != 5), key=lambda x: (-x[0], x[1]))[:10]
+
+
 def test_bounds_save_distances():
     r = np.random.default_rng(6)
     centres = r.normal(0, 4000, (30, 8))
