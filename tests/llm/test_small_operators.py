@@ -3,6 +3,7 @@ import hashlib
 import io
 import math
 import random
+import re
 from collections import Counter
 from datetime import date
 
@@ -286,6 +287,21 @@ def test_leaks_at_the_start_of_any_text():
             assert [(d, i) for d, i, *_ in found.find(texts)] == [(3, k), (4, k)]
 
 
+def test_short_items_equal_brute_force():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 7)))
+    items = [(k, t) for k, t in enumerate({decontaminate.normal(" ".join(word() for _ in range(r.randrange(1, 4))))[:13].strip() for _ in range(60)})]
+    texts = [" ".join(word() for _ in range(r.randrange(0, 25))) for _ in range(40)] + ["", "a"]
+    want = set()
+    for d, text in enumerate(texts):
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        for i, (_, item) in enumerate(items):
+            found = [(decontaminate.edit_distance(item, text[a:b]), b) for k, (a, _) in enumerate(words) for _, b in words[k:]]
+            if found and min(found)[0] <= int(0.2 * len(item)):
+                want.add((d, i, *min(found)))
+    assert set(decontaminate.Items(items).find(texts)) == want and any(n for _, _, n, _ in want)
+
+
 @pytest.mark.parametrize("least, most", [(14, 19), (20, 39), (40, 59), (60, 79), (80, 149), (150, 390)])
 @pytest.mark.parametrize("rate", [0.08, 0.2])
 def test_recall_of_edited_items_by_length(least, most, rate):
