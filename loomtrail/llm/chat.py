@@ -44,14 +44,15 @@ def merge_turns(conversations: DataFrame) -> DataFrame:
     turns = (
         conversations.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), text("role").alias("role"), text("text").alias("text")))).alias("turns"))
-        .withColumn("at", F.sequence(F.lit(0), F.size("turns") - 1))
+        # arrays of their own: a field of an array of structs, taken within a lambda, would be built anew for each element
+        .select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
     )
-    same = lambda i: (i > 0) & (F.get("turns.role", i) == F.get("turns.role", i - 1))
-    runs = turns.withColumn("first", F.filter("at", lambda i: ~F.coalesce(same(i), F.lit(False))))
-    end = lambda k: F.coalesce(F.get("first", k + 1), F.size("turns"))
+    opens = F.transform("roles", lambda r, i: F.when((i > 0) & (r == F.get("roles", i - 1)), F.lit(-1)).otherwise(i))
+    runs = turns.select("conv_id", "roles", "texts", F.array_remove(opens, F.lit(-1)).alias("first"))
+    end = lambda k: F.coalesce(F.get("first", k + 1), F.size("roles"))
     return runs.select(
         "conv_id",
-        F.transform("first", lambda i, k: F.struct(F.get("turns.role", i).alias("role"), F.slice("turns.text", i + 1, end(k) - i).alias("texts"))).alias("merged"),
+        F.transform("first", lambda i, k: F.struct(F.get("roles", i).alias("role"), F.slice("texts", i + 1, end(k) - i).alias("texts"))).alias("merged"),
     )
 
 
@@ -85,12 +86,8 @@ def parse_chat(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, CLOSE, -1), lambda b: b.startswith(OPEN))
     role = lambda b: F.substring_index(body(b), "\n", 1)
     rest = lambda b: F.substring(body(b), F.length(role(b)) + 2, F.length(b))
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(F.split(rest(b), PART, -1), lambda t: F.struct(_unescape_role(role(b)).alias("role"), unescape(t).alias("text"))),
-        )
-    )
+    heads = F.transform(blocks, lambda b: F.struct(_unescape_role(role(b)).alias("role"), F.split(rest(b), PART, -1).alias("texts")))
+    return F.flatten(F.transform(heads, lambda h: F.transform(h["texts"], lambda t: F.struct(h["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
