@@ -6,7 +6,8 @@ inverted at that number, the record is repeated that often, and all copies are p
 
 Defined cases: a null source is a source of its own; a source without bytes keeps rate 1; a null text is empty;
 repeated rows of one id get the same count; an empty table gives an empty result; other columns are carried along,
-but for columns of docs named rate, copy or order_key, which the operator's own replace.
+but for columns named like the operator's own (`names`), in any case, which its own replace.
+The order is by a hash that is uniform on [0, SPAN), so partitions take equal ranges of it, without a look at the rows first.
 Rates over PIECE are split into a sum of Poisson numbers, so that exp(-rate) never underflows.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash64, stored, utf8_bytes
+from .common import hash64, stored, utf8_bytes, without
 
 SEED, TEMPERATURE, PIECE = "mix-1", 0.5, 256.0
 MAX_BROADCAST_SOURCES, SALTS = 10_000, 64
@@ -55,8 +56,8 @@ def copies(rate: Column, *key: Column, seed: str = SEED) -> Column:
 
 
 def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """docs and rate. The rates are broadcast up to MAX_BROADCAST_SOURCES sources, and beyond joined by salted keys."""
-    rates = stored(rates.coalesce(1), "rates").withColumnRenamed("source", "__rate_source")
+    """docs and __rate. The rates are broadcast up to MAX_BROADCAST_SOURCES sources, and beyond joined by salted keys."""
+    rates = stored(rates.coalesce(1), "rates").select(F.col("source").alias("__rate_source"), F.col("rate").alias("__rate"))
     if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         return docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("__rate_source"))).drop("__rate_source")
     salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -64,15 +65,13 @@ def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     return dealt.join(salted, F.col("source").eqNullSafe(F.col("__rate_source")) & (F.col("__doc_salt") == F.col("__salt"))).drop("__rate_source", "__salt", "__doc_salt")
 
 
-def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs repeated, with copy (from 1) and order_key, in the order of order_key."""
-    docs = docs.drop("rate", "copy", "order_key")
-    return (
-        with_rates(docs, rates)
-        .withColumn("__copies", copies(F.col("rate"), F.col("doc_id"), seed=seed))
-        .where("__copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .withColumn("order_key", hash64(F.lit(seed + ":order"), F.col("doc_id"), F.col("copy")))
-        .drop("rate", "__copies")
-        .orderBy("order_key", "doc_id", "copy")
-    )
+def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED, names: tuple[str, str] = ("copy", "order_key")) -> DataFrame:
+    """docs repeated, with copy (from 1) and order_key, under these names, in the order of order_key."""
+    kept = [F.col(f"`{c}`") for c in without(docs, *names).columns]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = with_rates(docs, rates).select(*kept, copies(F.col("__rate"), F.col("doc_id"), seed=seed).alias("__copies")).where("__copies > 0")
+    repeated = drawn.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
+    keyed = repeated.withColumn("__order", hash64(F.lit(seed + ":order"), F.col("doc_id"), F.col("__copy")))
+    part = F.floor(F.shiftright("__order", 30) * F.lit(parts) / F.lit(1 << 30)).cast("int")
+    dealt = keyed.repartitionById(parts, part)
+    return dealt.sortWithinPartitions("__order", "doc_id", "__copy").select(*kept, F.col("__copy").alias(names[0]), F.col("__order").alias(names[1]))

@@ -4,6 +4,8 @@ import io
 import math
 import random
 import re
+import time
+import zlib
 from collections import Counter
 from datetime import date
 
@@ -42,6 +44,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_takes_time_in_proportion(spark):
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("words <b> "), 20).alias("text"))
+        began = time.perf_counter()
+        assert chat.chat_digests(chat.format_chat(rows)).collect()[0].n_turns == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert min(took(16000) for _ in range(2)) < 3 * max(0.3, min(took(8000) for _ in range(2)))
+
+
 # sharding
 
 
@@ -65,6 +78,28 @@ def test_shards(spark):
     assert sharding.place(empty, sharding.build_map(empty, 8)).count() == 0
 
 
+def test_a_map_of_two_versions(spark):
+    docs = shard_docs(spark).unionByName(spark.createDataFrame([(77, "same", 1)] * 300, "doc_id long, text string, slot int"))
+    first = sharding.build_map(docs, 8)
+    assert first.count() == sharding.N_SLOTS
+    second = sharding.edit_map(first, 9)
+    third = sharding.edit_map(second, 5, docs.limit(900))
+    assert [r[0] for r in third.groupBy("version").count().orderBy("version").collect()] == [1, 2, 3]
+    for slot_map, n in ((first, 8), (second, 9), (third, 5)):
+        rows = sharding.assign_shards(docs, slot_map).collect()
+        assert len(rows) == 2305 and {r.shard for r in rows} == set(range(n))
+        of_slot = {r.virtual_slot: r.shard for r in sharding.newest(slot_map).collect()}
+        assert all(of_slot[r.virtual_slot] == r.shard for r in rows)
+        placed = sharding.place(docs, slot_map).collect()
+        for s in range(n):
+            assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))
+        raw = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in placed) == raw
+    clash = docs.selectExpr("doc_id", "text", "1 AS Shard", "2 AS virtual_slot", "3 AS size")
+    out = sharding.assign_shards(clash, second)
+    assert out.columns == ["doc_id", "text", "virtual_slot", "size", "shard"] and out.count() == 2305
+
+
 def test_rebalance_moves_little():
     r = random.Random(3)
     first = sharding.first_map([(s, r.randrange(1, 2000), 3) for s in range(4096)], 8)
