@@ -1,4 +1,9 @@
-"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Defined cases of all stages: a null text counts as empty, is clean, unlinked and without leaks; null ids and null sources take
+part like others; rows that repeat an id and text are near copies of each other; an empty table gives an empty result;
+other columns are carried along unchanged, but for those that assign_shards replaces. Names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 
@@ -17,9 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id. Rows without id stay."""
-    gone = jaccard.components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked ones: that with the smallest doc_id (null last), of rows that repeat it any one.
+
+    Links are between rows, which get numbers of their own, so repeated and null ids take part like all others. Texts without
+    words and null texts are linked with nothing and all stay."""
+    numbered = stored(docs.select("*", F.monotonically_increasing_id().alias("__row")), "numbered")
+    found = jaccard.components(numbered.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = stored(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("first_row")), "row-components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row"))
+    best = rows.join(numbered.select("__row", "doc_id"), "__row").groupBy("first_row").agg(first.alias("best"))
+    # a component is named by its first row; where another one has the smallest id, the two change places
+    swaps = stored(best.where("best.__row <> first_row").select("first_row", F.col("best.__row").alias("__row")), "swaps")
+    others = rows.where("__row <> first_row").select("__row").join(swaps.select("__row"), "__row", "left_anti")
+    gone = stored(others.union(swaps.select("first_row")), "near-copies")
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +44,13 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by a Poisson number with their source's rate, in shuffled order."""
-    return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
+    """Documents repeated by a Poisson number with their source's rate, in shuffled order, with all columns of docs as they were."""
+    return mixing.mix(docs, mixing.source_rates(docs), names=("__copy", "__order_key")).drop("__copy", "__order_key")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their virtual slot and shard."""
-    assigned = sharding.assign_shards(docs, sharding.build_map(docs, N_SHARDS))
-    return assigned.select(*docs.columns, F.col("virtual_slot"), F.col("size").alias("shard_bytes"), "shard")
+    """The documents with virtual_slot, shard_bytes and shard, which replace columns of docs with these names."""
+    return sharding.assign_shards(docs, sharding.build_map(docs, N_SHARDS), names=("virtual_slot", "shard_bytes", "shard"))
 
 
 STAGES = [
