@@ -1,11 +1,13 @@
 """WARC archives through a chunked record table.
 
-Payloads become rows (record, chunk number, bytes) of bounded size. A writer takes these rows as a stream: it opens a
-record at chunk 0, compresses and digests chunk after chunk, and at the last one compares the digest with the one
-that the header announced, so it never holds a record. Reading gives chunk rows again, each with the digest and
-length of the payload so far. Each record is a gzip member of its own.
+Payloads become rows (record, chunk number, bytes) of bounded size, each with the digest and length of the payload so far.
+A writer takes these rows as a stream: it opens a record at chunk 0, compresses and digests chunk after chunk, compares
+each running digest with the row's, and the last one with that which the header announced, so it never holds a record.
+Reading gives chunk rows again. Each record is a gzip member of its own.
 
-Equal payloads of at least MIN_REVISIT bytes are stored once, with the smallest identifier; the others revisit it.
+Equal payloads of at least MIN_REVISIT bytes are stored once, with the smallest identifier; the others revisit it. Revisits
+are found on narrow rows (identifier, digest). Chunk rows stay where they are as long as there are no more than
+BROADCAST_REVISITS revisits, which are then sent to all tasks; beyond that, chunk rows are dealt by record.
 
 Defined cases: a null payload is empty; an empty or short payload is always a response; rows that repeat the smallest
 identifier of their payload are responses too; a row without identifier is a response and refers to nothing; a null
@@ -28,31 +30,86 @@ from pyspark.sql import functions as F
 from .common import filesystem, fresh_path, prepare, stored
 
 CHUNK, MIN_REVISIT, ARCHIVE_BYTES = 1 << 16, 100, 1 << 30
+BROADCAST_REVISITS, ROWS = 500_000, 256  # at about 100 bytes a revisit; chunk rows in a batch
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    narrow = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= MIN_REVISIT)).select("page_id", "payload_digest")
-    first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    revisits = narrow.join(first, "payload_digest").where("page_id > refers_to").distinct()
-    return rows.join(revisits, ["page_id", "payload_digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-
-
-def chunk_records(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """A row a chunk, in order within a record; revisits have one empty chunk."""
-    full = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    last = F.greatest(F.ceil(F.length(full) / size), F.lit(1)).cast("int") - 1
-    return (
-        records.withColumn("payload", full)
-        .withColumn("last", last)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "chunk", "last", F.expr(f"substring(payload, chunk * {size} + 1, {size})").alias("data"))
+CHUNK_ROWS = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.binary()), ("chunk", pa.int32()), ("last", pa.int32()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.binary()), ("data", pa.binary())])
+CHUNK_ROWS_DDL = "record long, page_id long, url string, payload_bytes long, payload_digest binary, chunk int, last int, bytes_so_far long, digest_so_far binary, data binary"
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _chunks(size: int, with_data: bool):
+    """Chunk rows of (page_id, url, html). Slices of the batch's own memory: no payload is copied as a whole."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        from pyspark import TaskContext
+
+        record = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for page, url, payload in zip(ids, urls, batch.column(2).cast(pa.binary()), strict=True):
+                held = payload.as_buffer() if payload.is_valid else None
+                view = memoryview(held if held is not None else b"")
+                n = len(view)
+                last = max(-(-n // size), 1) - 1
+                sha, so_far = hashlib.sha256(), []
+                for k in range(last + 1):
+                    sha.update(view[k * size : (k + 1) * size])
+                    so_far.append(sha.digest() if k == last else sha.copy().digest())
+                for k in range(last + 1) if with_data else (last,):
+                    yield record, page, url, n, so_far[-1], k, last, min(n, (k + 1) * size), so_far[k], bytes(view[k * size : (k + 1) * size]) if with_data else None
+                record += 1
+
+    return lambda batches: _batches(rows(batches), CHUNK_ROWS)
+
+
+def chunk_records(pages: DataFrame, size: int = CHUNK, with_data: bool = True) -> DataFrame:
+    """Chunk rows of all pages, in order within a record; without data only the last row of each record, with its whole digest."""
+    prepare(pages.sparkSession)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(_chunks(size, with_data), CHUNK_ROWS_DDL)
+
+
+def revisits_of(pages: DataFrame) -> DataFrame:
+    """page_id, payload_digest, refers_to of the records that revisit another."""
+    seen = chunk_records(pages, with_data=False).where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= MIN_REVISIT)).select("page_id", "payload_digest")
+    seen = stored(seen, "payload-digests")
+    first = seen.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
+    return stored(seen.join(first, "payload_digest").where("page_id > refers_to").distinct().select("page_id", "payload_digest", "refers_to"), "revisits")
+
+
+def plan_chunks(pages: DataFrame) -> DataFrame:
+    """Chunk rows with record_type and refers_to; of a revisit only the first, without data."""
+    revisits, rows = revisits_of(pages), chunk_records(pages)
+    if revisits.count() <= BROADCAST_REVISITS:
+        met = rows.join(F.broadcast(revisits), ["page_id", "payload_digest"], "left")
+    else:
+        met = rows.join(revisits.hint("merge"), ["page_id", "payload_digest"], "left").sortWithinPartitions("page_id", "payload_digest", "record", "chunk")
+    again = F.col("refers_to").isNotNull()
+    return met.where(~again | (F.col("chunk") == 0)).select(
+        "page_id",
+        "url",
+        "payload_bytes",
+        F.lower(F.hex("payload_digest")).alias("payload_digest"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"),
+        "refers_to",
+        "chunk",
+        F.when(again, 0).otherwise(F.col("last")).alias("last"),
+        F.when(again, F.lit(b"")).otherwise(F.col("digest_so_far")).alias("digest_so_far"),
+        F.when(again, F.lit(b"")).otherwise(F.col("data")).alias("data"),
     )
 
 
@@ -96,7 +153,7 @@ def _write(folder: str, most: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((f"{folder}/{name}", count, size), MANIFEST, strict=True)], schema=MANIFEST)
 
         for batch in batches:
-            for page, url, n, digest, kind, refers, chunk, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, n, digest, kind, refers, chunk, last, so_far, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     name, count, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -106,9 +163,9 @@ def _write(folder: str, most: int):
                     put(gz.compress(_header(page, url, n, digest, kind, refers) + HTTP))
                 sha.update(data)
                 put(gz.compress(data))
+                if kind == "response" and (sha.digest() != so_far or chunk == last and so_far.hex() != digest):
+                    raise ValueError(f"record {page}: the chunks do not make up the announced payload")
                 if chunk == last:
-                    if kind == "response" and sha.hexdigest() != digest:
-                        raise ValueError(f"record {page}: the chunks do not make up the announced payload")
                     put(gz.compress(b"\r\n\r\n") + gz.flush())
                     count += 1
                     if size >= most:
@@ -124,8 +181,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     """Write all pages; returns the manifest (path, n_records, n_bytes). Files of failed attempts stay unlisted."""
     spark = pages.sparkSession
     prepare(spark)
-    chunks = chunk_records(plan_records(pages))
-    return stored(chunks.mapInArrow(_write(folder or fresh_path(spark, "warc"), archive_bytes), "path string, n_records long, n_bytes long"), "warc-manifest")
+    return stored(plan_chunks(pages).mapInArrow(_write(folder or fresh_path(spark, "warc"), archive_bytes), "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
 CHUNKS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk", pa.int32()), ("is_last", pa.bool_()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("data", pa.binary())])
@@ -172,23 +228,17 @@ def records_of(file, size: int = CHUNK) -> Iterator[tuple]:
 
 def _read(with_data: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), CHUNKS, strict=True)], schema=CHUNKS)
-
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, name = filesystem(path)
-                rows = []
-                with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as file:
-                    for row in records_of(file):
-                        if row[2] == "response" and row[7] and (row[8], row[9]) != (row[4], row[5]):
-                            raise ValueError(f"record {row[0]}: its payload is damaged")
-                        rows.append(row if with_data else (*row[:10], None))
-                        if len(rows) >= 256:
-                            yield batch_of(rows)
-                            rows = []
-                if rows:
-                    yield batch_of(rows)
+        def rows():
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    fs, name = filesystem(path)
+                    with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as file:
+                        for row in records_of(file):
+                            if row[2] == "response" and row[7] and (row[8], row[9]) != (row[4], row[5]):
+                                raise ValueError(f"record {row[0]}: its payload is damaged")
+                            yield row if with_data else (*row[:10], None)
+
+        return _batches(rows(), CHUNKS)
 
     return run
 

@@ -235,6 +235,26 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_chunks_carry_running_digests(spark):
+    text = "é" * 100_000 + "tail"
+    pages = spark.createDataFrame([(1, "u", text, "x"), (2, None, "", "x"), (3, "u", text, "x"), (4, "u", None, "x")], "page_id long, url string, html string, record string")
+    rows = warc.chunk_records(pages, 1000).orderBy("record", "chunk").collect()
+    raw = text.encode()
+    own = [r for r in rows if r.page_id == 1]
+    assert b"".join(r.data for r in own) == raw and max(len(r.data) for r in rows) == 1000
+    for r in own:
+        assert bytes(r.digest_so_far) == hashlib.sha256(raw[: r.bytes_so_far]).digest() and bytes(r.payload_digest) == hashlib.sha256(raw).digest()
+    assert [(r.chunk, r.last, r.bytes_so_far) for r in rows if r.page_id in (2, 4)] == [(0, 0, 0)] * 2
+    got = sorted(map(tuple, warc.read_records(warc.write_archives(pages)).collect()))
+    most = warc.BROADCAST_REVISITS
+    try:  # more revisits than may be broadcast
+        warc.BROADCAST_REVISITS = 0
+        assert sorted(map(tuple, warc.read_records(warc.write_archives(pages)).collect())) == got
+    finally:
+        warc.BROADCAST_REVISITS = most
+    assert [r[3:] for r in got] == [("response", None), ("response", None), ("revisit", 1), ("response", None)]
+
+
 def test_damaged_archive_is_refused():
     head = warc._header(1, "u", 3, hashlib.sha256(b"abc").hexdigest(), "response", None)
     with pytest.raises(ValueError):
