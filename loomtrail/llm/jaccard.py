@@ -15,7 +15,12 @@ prefixes hold only such shingles, have no candidates at all.
    leaders retire, and a shingle whose classes all have one label is resolved. Each pair of classes with a common
    prefix shingle is thus either verified or already connected, so components are whole.
 
-A frequent shingle travels once per block; a hot one gives as many pairs as it has classes and leaders. Shingles are compared by 48 bits of their hashes.
+A frequent shingle travels once per block; a hot one gives as many pairs as it has classes and leaders. A shingle is hot if
+it has more entries than HOT and than 1 in MOST_HOT of all, so that there are at most MOST_HOT such: they are broadcast, and
+their entries are dealt to parts of that size, each met by copies of the shingle's few leaders.
+
+Shingles are compared by 48 bits of their hashes: for two sets of 300, one in 3 billion pairs would count a common shingle
+that they don't have; more bits would be most of what is shuffled.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are their own component; rows with null
 ids link with nothing and have a null component; rows that repeat an id are one node; an empty table gives an empty
@@ -39,7 +44,7 @@ from .shingles import WORDS, set_digest, shingle_sets
 PERCENT = 75
 BITS, RANGES = 48, 16
 BLOCK_BYTES, BUCKET_BYTES, SLICE_CHARS = 8 << 20, 8 << 20, 1 << 20
-LEADERS_GROW = 16
+LEADERS_GROW, HOT, MOST_HOT = 16, 128, 50_000
 POSTINGS, REPEATED = -1, -2
 
 BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
@@ -230,8 +235,14 @@ def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, label: the component of each class (id, n, grams, prefix, ranges) that meets another."""
     explode = classes.select("id", F.col("n").cast("int").alias("n"), (F.col("n") - F.size("grams")).cast("int").alias("single"), F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("place", "gram"))
     entries = explode.select("gram", "id", "n", (F.col("single") + F.col("place")).alias("at"))
-    shared = entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram")
-    live = stored(entries.join(shared, "gram"), "entries")
+    shared = entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("many")).where("low < high").select("gram", "many")
+    shared = stored(shared, "shared")
+    most = max(HOT, (shared.agg(F.sum("many")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(shared.where(F.col("many") > most).select("gram", F.ceil(F.col("many") / most).cast("int").alias("parts")))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = entries.join(hot, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    known = salted(shared.select("gram", F.greatest(F.lit(1), F.when(F.col("many") > most, F.ceil(F.col("many") / most)).otherwise(1)).cast("int").alias("parts")))
+    live = stored(dealt.join(known.select("gram", "salt"), ["gram", "salt"]), "entries")
     labels = stored(live.select("id").distinct().withColumn("label", F.col("id")), "labels")
     grams = stored(classes.join(labels.select("id"), "id").select("id", "grams", "ranges"), "grams")
     done, few, pairs_written, held = None, 1, [], live
@@ -240,15 +251,15 @@ def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             live = live.withColumn("label", F.col("id"))
         else:
             marked = live.drop("label").join(labels, "id")
-            open_ = marked.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-            live = stored(marked.join(open_, "gram"), "live")
+            open_ = salted(marked.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("parts").alias("parts")).where("low < high"))
+            live = stored(marked.join(open_.select("gram", "salt"), ["gram", "salt"]), "live")
             discard(held)
             held = live
-        leaders = live.groupBy("gram", F.pmod(F.xxhash64("label"), F.lit(few)).alias("slot")).agg(F.min(F.struct("id", "label", "n", "at")).alias("lead"))
-        leaders = stored(leaders.select("gram", F.col("lead.id").alias("a"), F.col("lead.label").alias("a_label"), F.col("lead.n").alias("a_n"), F.col("lead.at").alias("a_at")), "leaders")
-        other = live.select("gram", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+        leaders = live.groupBy("gram", F.pmod(F.xxhash64("label"), F.lit(few)).alias("slot")).agg(F.min(F.struct("id", "label", "n", "at")).alias("lead"), F.first("parts").alias("parts"))
+        leaders = stored(leaders.select("gram", "parts", F.col("lead.id").alias("a"), F.col("lead.label").alias("a_label"), F.col("lead.n").alias("a_n"), F.col("lead.at").alias("a_at")), "leaders")
+        other = live.select("gram", "salt", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
         met = (
-            other.join(leaders, "gram")
+            other.join(salted(leaders), ["gram", "salt"])
             .where("a <> b AND a_label <> b_label")
             .where(f"least(a_n, b_n) * 100 >= {percent} * greatest(a_n, b_n)")  # length
             .where(_enough(percent, "least(a_n - a_at, b_n - b_at)"))  # position
@@ -271,7 +282,7 @@ def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         discard(held, leaders, links)
         held = live
         few *= LEADERS_GROW
-    discard(held, grams, *pairs_written)
+    discard(held, grams, shared, *pairs_written)
     return labels
 
 

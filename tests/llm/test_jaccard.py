@@ -80,3 +80,18 @@ def test_many_unlinked_classes_share_one_shingle(spark):
     # short texts with one common shingle and nothing else in common: leaders must retire one after another
     rows = [(i, "c1 c2 c3 c4 c5 " + f"x{i}") for i in range(30)] + [(100 + i, "c1 c2 c3 c4 c5 " + f"x{i}") for i in range(3)]
     assert got(jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_hot_shingles_are_dealt_in_parts(spark):
+    r = random.Random(8)
+    common = "the very same five words and some more of them here"
+    rows = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(r.randrange(0, 6))) + " " + common) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace("more", "less")) for i in range(0, 300, 3)]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, salt int, gram int")
+    usual = jaccard.HOT
+    try:
+        jaccard.HOT = 4
+        got = sorted(tuple(x) for x in jaccard.components(df).collect())
+    finally:
+        jaccard.HOT = usual
+    assert got == sorted(brute(rows)) and len({c for *_, c in got}) < len(got)
