@@ -2,17 +2,19 @@
 
 Labels are of documents, so tokens are labelled first: features of words (the word, its beginnings of 3 to 6 letters)
 that occur, once or REPEATS times, in toxic training documents far more often than chance allows, and in many different
-contexts, mark tokens, which take the label of their document. A two-state chain field is fitted to windows of these
-tokens and scores all words of a text: forward-backward gives each word's marginal p. A document's evidence is the sum
-of -log(1 - p) over words with p >= COUNTED, so one certain word or several doubtful ones weigh alike; a logistic
-curve fitted to training documents turns it into the score. Runs of words over SPAN_AT are its offending spans. The chain is evaluated in chunks joined by a scan, so long texts cost no more per
+contexts, mark tokens, which take the label of their document. A two-state chain field is fitted to all words of these
+documents, in stretches of SEGMENT words, and scores all words of a text: forward-backward gives each word's marginal p. A document's evidence is the sum of
+log(p / (1 - p)) over words that are likelier toxic than not, so that many doubtful words weigh less than a certain one; a
+logistic curve fitted to training documents turns it into the score. Runs of words over SPAN_AT are its offending spans. The chain is evaluated in chunks joined by a scan, so long texts cost no more per
 word than short ones, and nothing is cut.
 
-The fit uses at most MAX_TRAIN labelled documents of each class (those with the smallest hashes), MAX_MARKS marking
-features, WINDOWS windows of a document and MAX_WINDOWS in all; scoring and statistics cover all documents.
+The fit uses a sample of the labelled rows: of each class the max_train with the smallest hashes, as long as those before
+have fewer than max_chars characters together. Everything in the sample counts: whole texts, all marks, all words. Scoring and
+statistics cover all documents.
 
 Defined cases: a null or wordless text has no evidence; null ids are scored and never held out; repeated rows each get a row;
-without labels of both classes every score is next to 0; an empty table gives an empty result; other columns are ignored.
+an id that is labelled both ways is toxic; equal texts with different labels are one text, toxic if at least half of their
+labels are; without labels of both classes every score is next to 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
 
-MAX_TRAIN, MAX_MARKS, WINDOWS, REACH = 4000, 20_000, 12, 6
-FIT_STEPS, L2, MAX_WINDOWS = 100, 1e-4, 24_000
-THRESHOLD, SPAN_AT, COUNTED, REPEATS, MOST_EVIDENCE = 0.7, 0.5, 0.05, 3, 30.0
+MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 8_000_000  # labelled rows and characters of each class
+FIT_STEPS, L2, SEGMENT, LEAST_SEGMENTS = 100, 1e-4, 64, 3
+THRESHOLD, SPAN_AT, REPEATS, MOST_EVIDENCE = 0.7, 0.5, 3, 30.0
 CHUNK, CACHE_WORDS = 64, 400_000
 _WORDS = re.compile(r"\w+")
 
@@ -135,8 +137,8 @@ class Field:
 
 
 def evidence(p: np.ndarray) -> float:
-    some = p[p >= COUNTED]
-    return min(MOST_EVIDENCE, float(-np.log(np.maximum(1 - some, 1e-12)).sum()))
+    p = p[p > 0.5].clip(max=1 - 1e-9)
+    return min(MOST_EVIDENCE, float(np.log(p / (1 - p)).sum()))
 
 
 def fit_curve(x: list[float], y: list[int], toxic_share: float) -> tuple[float, float]:
@@ -150,58 +152,72 @@ def fit_curve(x: list[float], y: list[int], toxic_share: float) -> tuple[float,
     return float(w[0]), float(w[1]) + odds(toxic_share) - odds(y.mean())
 
 
-def fit_field(windows: list[tuple[list[str], list[int]]], steps: int = FIT_STEPS, l2: float = L2) -> Field:
-    """Maximum likelihood with an L2 penalty over windows of words and labels, by gradient ascent with momentum."""
-    if not any(any(y) for _, y in windows):
+def fit_field(segments: list[tuple[list[str], list[int]]], steps: int = FIT_STEPS, l2: float = L2) -> Field:
+    """The field fitted to segments of words and labels."""
+    vocabulary: dict[str, int] = {}
+    tokens = np.array([vocabulary.setdefault(w, len(vocabulary)) for words, _ in segments for w in words], np.int32)
+    y = np.array([x for _, labels in segments for x in labels], np.int8)
+    return fit_tokens(list(vocabulary), tokens, y, np.array([len(w) for w, _ in segments], np.int64), steps, l2)
+
+
+def fit_tokens(vocabulary: list[str], tokens: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = FIT_STEPS, l2: float = L2) -> Field:
+    """Maximum likelihood with an L2 penalty by gradient ascent with momentum. tokens: numbers of words, segment after segment.
+
+    A word's emission is computed once a step, whatever number of tokens it has."""
+    if not len(tokens) or not y.any():
         return Field()
-    often = Counter(f for words, _ in windows for w in set(words) for f in features(w))
-    least = max(2, min(20, len(windows) // 400))
+    many, n = len(lengths), int(lengths.max())
+    segment = np.repeat(np.arange(many), lengths)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # features in at least `least` segments take part
+    once = np.unique(tokens.astype(np.int64) * many + segment) // many
+    in_segments = np.bincount(once, minlength=len(vocabulary))
+    often: Counter = Counter()
+    own = [features(w) for w in vocabulary]
+    for fs, count in zip(own, in_segments.tolist(), strict=True):
+        for f in fs:
+            often[f] += count
+    least = LEAST_SEGMENTS
     names: dict[str, int] = {}
-    rows, columns, starts, y = [], [], [], []
-    n = max(len(w) for w, _ in windows)
-    for i, (words, labels) in enumerate(windows):
-        for k, (w, label) in enumerate(zip(words, labels, strict=True)):
-            for f in features(w):
-                if often[f] < least:
-                    continue
-                rows.append(i * n + k)
-                columns.append(names.setdefault(f, len(names)))
-            starts.append(i * n + k)
-            y.append(label)
-    rows, columns, starts, y = (np.array(v, int) for v in (rows, columns, starts, y))
-    size, many = len(windows) * n, len(windows)
-    real, truth = np.zeros(size, bool), np.zeros(size)
-    real[starts], truth[starts] = True, y
-    grid, gold = real.reshape(many, n), truth.reshape(many, n).astype(int)
-    before = np.concatenate([np.zeros((many, 1), int), gold[:, :-1]], 1)
-    weights, bias, move = np.zeros(len(names)), math.log((y.sum() + 1) / (len(y) + 2)), np.zeros((2, 2))
+    pairs = [(i, names.setdefault(f, len(names))) for i, fs in enumerate(own) for f in fs if often[f] >= least]
+    word, column = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    del own, often, pairs
+    # positions by segments: one row of arrays for each place in a segment
+    grid = np.full((n, many), -1, np.int32)
+    grid[place, segment] = tokens
+    real, gold = grid >= 0, np.zeros((n, many), np.int8)
+    gold[place, segment] = y
+    before = np.concatenate([np.zeros((1, many), np.int8), gold[:-1]])
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (before[real], gold[real]), 1)
+    weights, bias, move = np.zeros(len(names)), math.log((int(y.sum(dtype=np.int64)) + 1) / (len(y) + 2)), np.zeros((2, 2))
     speed = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
     second = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
+    marked = int(y.sum(dtype=np.int64))  # the likelihood is taken per marked word, so the penalty weighs alike in long and short texts
     for step in range(1, steps + 1):
-        e = np.where(real, bias + np.bincount(rows, weights[columns], size), 0.0).clip(-30, 30)
-        ex, t = np.exp(e).reshape(many, n), np.exp(move)
-        a, scaled = np.empty((n, many, 2)), np.tile([1.0, 0.0], (many, 1))
+        ex = np.exp((bias + np.bincount(word, weights[column], len(vocabulary))).clip(-30, 30))
+        t = np.exp(move)
+        forward = np.empty((n + 1, many), np.float32)  # the probability of label 1 so far; label 0 has the rest
+        forward[0] = 0.0
         for k in range(n):
-            new = scaled @ t
-            new[:, 1] *= ex[:, k]
-            new /= new.sum(1, keepdims=True)
-            scaled = np.where(grid[:, k, None], new, scaled)
-            a[k] = scaled
-        b, expected, marginal = np.full((many, 2), 0.5), np.zeros((2, 2)), np.zeros((many, n))
+            p = forward[k].astype(np.float64)
+            one = ((1 - p) * t[0, 1] + p * t[1, 1]) * ex[grid[k]]
+            new = one / (one + (1 - p) * t[0, 0] + p * t[1, 0])
+            forward[k + 1] = np.where(real[k], new, p)
+        expected, error, b = np.zeros((2, 2)), np.zeros(len(vocabulary)), np.full(many, 0.5)  # b: what follows, for label 1
         for k in range(n - 1, -1, -1):
-            last = a[k - 1] if k else np.tile([1.0, 0.0], (many, 1))
-            phi = np.stack([b[:, 0], b[:, 1] * ex[:, k]], 1)
-            pair = last[:, :, None] * t[None] * phi[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            pair[~grid[:, k]] = 0
-            expected += pair.sum(0)
-            marginal[:, k] = pair[:, :, 1].sum(1)
-            new = phi @ t.T
-            b = np.where(grid[:, k, None], new / new.sum(1, keepdims=True), b)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (before[grid], gold[grid]), 1)
-        error = np.where(real, truth - marginal.reshape(-1), 0.0)
-        slopes = [np.bincount(columns, error[rows], len(names)) / many - l2 * weights, error.sum() / many, (seen - expected) / many - l2 * move]
+            p, here = forward[k].astype(np.float64), real[k]
+            one, none = b * ex[grid[k]], 1 - b
+            pair = [[(1 - p) * t[0, 0] * none, (1 - p) * t[0, 1] * one], [p * t[1, 0] * none, p * t[1, 1] * one]]
+            total = pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1]
+            for i in range(2):
+                for j in range(2):
+                    expected[i, j] += (pair[i][j] / total)[here].sum()
+            marginal = (pair[0][1] + pair[1][1]) / total
+            error += np.bincount(grid[k][here], (gold[k] - marginal)[here], len(vocabulary))
+            up, down = t[1, 0] * none + t[1, 1] * one, t[0, 0] * none + t[0, 1] * one
+            b = np.where(here, up / (up + down), b)
+        slopes = [np.bincount(column, error[word], len(names)) / marked - l2 * weights, error.sum() / marked, (seen - expected) / marked - l2 * move]
         for i, g in enumerate(slopes):
             speed[i] = 0.9 * speed[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
@@ -249,33 +265,51 @@ def _contexts(marks: frozenset):
     return run
 
 
-def _windows(marks: frozenset):
+def _segments(marks: frozenset):
+    """All words of the sample in stretches of SEGMENT, with 1 for marked ones of toxic texts."""
+
     def run(batches):
+        known: dict[str, int] = {}
         for batch in batches:
-            out = []
+            words, hits = [], []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _WORDS.findall(text or "")
-                hit = [int(any(f in marks for f in features(w))) for w in words]
-                found = [k for k, h in enumerate(hit) if h][:WINDOWS]
-                hit = [h * toxic for h in hit]
-                step = max(1, len(words) // 3)
-                for k in [*found, *range(len(words) % step if words else 0, len(words), step)][: WINDOWS + 3]:
-                    low = max(0, k - REACH)
-                    out.append((words[low : k + REACH + 1], hit[low : k + REACH + 1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.list_(pa.string())), pa.array([h for _, h in out], pa.list_(pa.int32()))], names=["words", "hits"])
+                own = _WORDS.findall(text or "")
+                if toxic:
+                    for w in own:
+                        if w not in known:
+                            known[w] = int(any(f in marks for f in features(w)))
+                for k in range(0, len(own), SEGMENT):
+                    some = own[k : k + SEGMENT]
+                    words.append(some)
+                    hits.append([known[w] for w in some] if toxic else [0] * len(some))
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int8()))], names=["words", "hits"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Field:
-    """The field fitted to a bounded sample of labelled documents that are not held out."""
-    prepare(docs.sparkSession)
-    known = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+def training_sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """toxic, text: labelled texts that are not held out, at most max_train of each class and, but for the last one, max_chars characters."""
+    known = _known(labels)
     order = F.md5(F.col("doc_id").cast("string"))
     ids = known.where("toxic = 1").orderBy(order).limit(max_train).unionByName(known.where("toxic = 0").orderBy(order).limit(max_train))
-    ids = stored(ids, "train-ids")  # 2 * max_train rows at most, so they may be broadcast
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", F.col("text").cast("string").alias("text")).dropDuplicates(["text"]), "train")
+    ids = stored(ids.select("doc_id", "toxic", order.alias("place")), "train-ids")  # 2 * max_train rows at most, so they may be broadcast
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text IS NOT NULL")
+    texts = stored(labelled.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("long").alias("toxic"), F.min("place").alias("place")), "train-texts")
+    before = Window.partitionBy("toxic").orderBy("place", "text_hash").rowsBetween(Window.unboundedPreceding, -1)  # as many narrow rows as ids, but for repeated ids
+    narrow = texts.select("toxic", "place", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"))
+    kept = narrow.withColumn("so_far", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("so_far") < max_chars).select("place", "text_hash")
+    return stored(texts.withColumn("text_hash", F.xxhash64("text")).join(kept, ["place", "text_hash"], "left_semi").select("toxic", "text"), "train")
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Field:
+    """The field fitted to a bounded sample of labelled documents that are not held out."""
+    prepare(docs.sparkSession)
+    sample = training_sample(docs, labels, max_train, max_chars)
     count = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not count.get(0) or not count.get(1):
         return Field()
@@ -292,23 +326,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Field
         ratio = b * F.log(b / ((b + g) * share)) + F.when(g > 0, g * F.log(F.when(g > 0, g).otherwise(1.0) / ((b + g) * (1 - share)))).otherwise(0.0)
         return F.when((b >= 4) & (b >= 4 * g), ratio >= least).otherwise(False)
 
-    strong = by_feature.where(telling("bad1", "good1") | telling("bad3", "good3"))
-    some = frozenset(r["feature"] for r in strong.orderBy(F.desc("bad1"), "feature").limit(MAX_MARKS).select("feature").collect())
+    # all marks come to the driver: each is a feature of the bounded sample that four toxic texts have
+    some = frozenset(r["feature"] for r in by_feature.where(telling("bad1", "good1") | telling("bad3", "good3")).select("feature").collect())
     if not some:
         return Field()
     # copies of one text repeat its words and their neighbours, so different contexts are what counts
     contexts = sample.where("toxic = 1").mapInArrow(_contexts(some), "feature string, context string").distinct().groupBy("feature").count()
-    varied = contexts.where(F.col("count") * -math.log(share) >= least)
-    marks = frozenset(r["feature"] for r in varied.limit(MAX_MARKS).select("feature").collect())
-    rows = sample.mapInArrow(_windows(marks), "words array<string>, hits array<int>").collect()  # bounded: a few windows of 2 * max_train texts
-    windows = sorted((r["words"], r["hits"]) for r in rows)
-    model = fit_field(windows[:: -(-len(windows) // MAX_WINDOWS) or 1])
-    seen = sample.mapInArrow(_evidence(model), "toxic long, evidence double").collect()  # 2 * max_train rows at most
-    all_known = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    marks = frozenset(r["feature"] for r in contexts.where(F.col("count") * -math.log(share) >= least).select("feature").collect())
+    # ordered, so that the fit is the same each time
+    model = _fit_segments(sample.orderBy("toxic", F.md5("text")).mapInArrow(_segments(marks), "words array<string>, hits array<tinyint>"))
+    seen = sample.mapInArrow(_evidence(model), "toxic long, evidence double").orderBy("toxic", "evidence").collect()  # a number for each text of the sample
+    all_known = {r["toxic"]: r["count"] for r in _known(labels).groupBy("toxic").count().collect()}
     model.slope, model.level = fit_curve([r["evidence"] for r in seen], [r["toxic"] for r in seen], all_known[1] / (all_known[0] + all_known[1]))
     return model
 
 
+def _fit_segments(segments: DataFrame) -> Field:
+    found = segments.toArrow()
+    words = found.column("words").combine_chunks()
+    coded = words.values.dictionary_encode()
+    tokens, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    lengths = words.value_lengths().to_numpy().astype(np.int64)
+    y = found.column("hits").combine_chunks().values.to_numpy()
+    del found, words, coded
+    return fit_tokens(vocabulary, tokens, y, lengths)
+
+
 def _evidence(model: Field):
     def run(batches):
         for batch in batches:

@@ -453,3 +453,56 @@ def test_toxicity_learns_words_and_spans(spark):
     nothing = toxicity.fit(df, y.limit(0))
     assert {x.predicted for x in toxicity.score(df.limit(3), nothing).collect()} == {0}
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_the_sample_of_labelled_texts(spark):
+    docs = [(i, f"text {i} " + "x" * 90) for i in range(300)] + [(1000 + i, "said both ways") for i in range(30)] + [(2000, "even"), (2001, "even"), (5, "twice " * 2), (7, None)]
+    labels = [(i, i % 3 == 0) for i in range(300)] + [(1000 + i, i < 10) for i in range(30)] + [(2000, True), (2001, False), (6, True)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, toxic int")
+    y = spark.createDataFrame([(i, int(t)) for i, t in labels], "doc_id long, toxic int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    label = {}
+    for i, t in labels:
+        if not held(i):
+            label[i] = label.get(i, False) or t
+    texts = {}
+    for i, t in docs:
+        if t is not None and i in label:
+            texts.setdefault(t, []).append(label[i])
+    want = {(int(sum(v) / len(v) >= 0.5), t) for t, v in texts.items()}
+    for _ in range(2):
+        assert {tuple(r) for r in toxicity.training_sample(df, y).collect()} == want
+    few = toxicity.training_sample(df, y, max_chars=1000).collect()
+    for c in (0, 1):
+        own = [len(r.text) for r in few if r.toxic == c]
+        assert 1000 <= sum(own) < 1000 + max(own)
+    assert {tuple(r) for r in few} <= want and toxicity.fit(df, y) == toxicity.fit(df, y)
+
+
+def test_fit_climbs_to_the_best_field():
+    r = random.Random(4)
+    segments = []
+    for _ in range(300):
+        labels = [int(r.random() < 0.3) for _ in range(r.randrange(1, 9))]
+        segments.append(([r.choice(["bad", "odd"] if x else ["good", "fine", "odd"]) for x in labels], labels))
+
+    def loss(model):
+        total, t = 0.0, np.exp(np.array(model.move))
+        for words, labels in segments:
+            phi = np.stack([np.ones(len(words)), np.exp(model.emissions(words))], 1)
+            v, gold, last = np.array([1.0, 0.0]), 0.0, 0
+            for k, x in enumerate(labels):
+                gold += math.log(t[last, x] * phi[k, x])
+                v, last = v @ t * phi[k], x
+            total += math.log(v.sum()) - gold
+        return total / len(segments)
+
+    best = toxicity.fit_field(segments, steps=400)
+    for name in [*best.weights, None]:
+        for change in (-0.2, 0.2):
+            other = toxicity.Field(dict(best.weights), best.bias, best.move)
+            if name:
+                other.weights[name] += change
+            else:
+                other.bias += change
+            assert loss(other) > loss(best) - 1e-3
