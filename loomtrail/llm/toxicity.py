@@ -335,9 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_char
     marks = frozenset(r["feature"] for r in contexts.where(F.col("count") * -math.log(share) >= least).select("feature").collect())
     # ordered, so that the fit is the same each time
     model = _fit_segments(sample.orderBy("toxic", F.md5("text")).mapInArrow(_segments(marks), "words array<string>, hits array<tinyint>"))
-    seen = sample.mapInArrow(_evidence(model), "toxic long, evidence double").orderBy("toxic", "evidence").collect()  # a number for each text of the sample
+    seen = sorted(tuple(r) for r in sample.mapInArrow(_evidence(model), "toxic long, evidence double").collect())  # a number for each text of the sample
     all_known = {r["toxic"]: r["count"] for r in _known(labels).groupBy("toxic").count().collect()}
-    model.slope, model.level = fit_curve([r["evidence"] for r in seen], [r["toxic"] for r in seen], all_known[1] / (all_known[0] + all_known[1]))
+    model.slope, model.level = fit_curve([e for _, e in seen], [t for t, _ in seen], all_known[1] / (all_known[0] + all_known[1]))
     return model
 
 
