@@ -160,6 +160,33 @@ def fit_field(segments: list[tuple[list[str], list[int]]], steps: int = FIT_STEP
     return fit_tokens(list(vocabulary), tokens, y, np.array([len(w) for w, _ in segments], np.int64), steps, l2)
 
 
+def _feature_table(vocabulary: list[str], tokens: np.ndarray, segment: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names of the features that LEAST_SEGMENTS segments have, and pairs (word, feature). In Arrow arrays: as Python objects they would be most of the driver's memory."""
+    import pyarrow.compute as pc
+
+    key = tokens.astype(np.int64)
+    key *= int(segment[-1]) + 1
+    key += segment
+    key.sort()
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+    in_segments = np.bincount(key // (int(segment[-1]) + 1), minlength=len(vocabulary))
+    del key
+    lower = pa.array([w.lower() for w in vocabulary], pa.large_string())
+    size, parts, words = pc.utf8_length(lower).to_numpy(), [lower], [np.arange(len(vocabulary), dtype=np.int32)]
+    for k in range(3, 7):
+        some = np.flatnonzero(size > k).astype(np.int32)
+        parts.append(pc.binary_join_element_wise(pa.scalar("^", pa.large_string()), pc.utf8_slice_codeunits(lower.take(pa.array(some)), 0, k), pa.scalar("", pa.large_string())))
+        words.append(some)
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    word, column = np.concatenate(words), coded.indices.to_numpy()
+    often = np.bincount(column, in_segments[word], len(coded.dictionary))
+    kept = np.flatnonzero(often >= LEAST_SEGMENTS)
+    number = np.full(len(often), -1, np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
+    used = number[column] >= 0
+    return coded.dictionary.take(pa.array(kept)), word[used], number[column[used]]
+
+
 def fit_tokens(vocabulary: list[str], tokens: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = FIT_STEPS, l2: float = L2) -> Field:
     """Maximum likelihood with an L2 penalty by gradient ascent with momentum. tokens: numbers of words, segment after segment.
 
@@ -167,29 +194,20 @@ def fit_tokens(vocabulary: list[str], tokens: np.ndarray, y: np.ndarray, lengths
     if not len(tokens) or not y.any():
         return Field()
     many, n = len(lengths), int(lengths.max())
-    segment = np.repeat(np.arange(many), lengths)
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    # features in at least `least` segments take part
-    once = np.unique(tokens.astype(np.int64) * many + segment) // many
-    in_segments = np.bincount(once, minlength=len(vocabulary))
-    often: Counter = Counter()
-    own = [features(w) for w in vocabulary]
-    for fs, count in zip(own, in_segments.tolist(), strict=True):
-        for f in fs:
-            often[f] += count
-    least = LEAST_SEGMENTS
-    names: dict[str, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for i, fs in enumerate(own) for f in fs if often[f] >= least]
-    word, column = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    del own, often, pairs
+    starts = np.cumsum(lengths) - lengths
+    segment = np.repeat(np.arange(many, dtype=np.int32), lengths)
+    place = (np.arange(len(tokens), dtype=np.int32) - starts.astype(np.int32)[segment]).astype(np.int16)
     # positions by segments: one row of arrays for each place in a segment
     grid = np.full((n, many), -1, np.int32)
     grid[place, segment] = tokens
-    real, gold = grid >= 0, np.zeros((n, many), np.int8)
+    gold = np.zeros((n, many), np.int8)
     gold[place, segment] = y
+    del place
+    names, word, column = _feature_table(vocabulary, tokens, segment)
+    del segment
+    real = grid >= 0
     before = np.concatenate([np.zeros((1, many), np.int8), gold[:-1]])
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (before[real], gold[real]), 1)
+    seen = np.bincount((2 * before + gold)[real], minlength=4).reshape(2, 2).astype(float)
     weights, bias, move = np.zeros(len(names)), math.log((int(y.sum(dtype=np.int64)) + 1) / (len(y) + 2)), np.zeros((2, 2))
     speed = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
     second = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
@@ -223,7 +241,7 @@ def fit_tokens(vocabulary: list[str], tokens: np.ndarray, y: np.ndarray, lengths
             second[i] = 0.99 * second[i] + 0.01 * g * g
         change = [0.3 * (s / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-6) for s, q in zip(speed, second, strict=True)]
         weights, bias, move = weights + change[0], bias + float(change[1]), move + change[2]
-    keep = {f: float(weights[k]) for f, k in names.items() if abs(weights[k]) > 1e-3}
+    keep = {names[int(k)].as_py(): float(weights[k]) for k in np.flatnonzero(np.abs(weights) > 1e-3)}
     return Field(keep, float(bias), tuple(map(tuple, move.tolist())))
 
 
@@ -349,6 +367,7 @@ def _fit_segments(segments: DataFrame) -> Field:
     lengths = words.value_lengths().to_numpy().astype(np.int64)
     y = found.column("hits").combine_chunks().values.to_numpy()
     del found, words, coded
+    pa.default_memory_pool().release_unused()
     return fit_tokens(vocabulary, tokens, y, lengths)
 
 
