@@ -68,9 +68,36 @@ fri repos repo self test data file path list all
 """.split()
 
 
+#: What a text must hold, in lower case, for the rule of the same place to match: any of these. None: tried always.
+NEEDED: list[tuple[str, ...] | None] = [
+    ("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "akia", "aiza", "hf_", "glpat-", "npm_", "ya29."),
+    ("eyj",), ("bearer", "basic"), ("key", "token", "secret", "password", "passwd"), ("git@",), ("://",), ("://",), ("huggingface.co/",),
+    ("huggingface.co/",), ("repos/",), ("github.com/", "gitlab.com/"), ("gh ",), ("@",), None, (":",), ("/users/",), ("/home/",), ("/root",),
+    (":\\users\\",), ("%2fusers%2f",), ("-users-",), ("-home-",), ("/var/folders/",), ("/claude-",), ("/volumes/",), (".local",),
+]
+
+
+NEVER = r"\A(?!)"  # is tried once a text
+
+
 def anonymise(text: Column, names: list[str] | None = None) -> Column:
-    """The rules in order, then literal names, the longest first, as whole words."""
-    out = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), ANONYMISE_RULES, text)
+    """The rules in order, then literal names, the longest first, as whole words.
+
+    A rule is tried only on texts that hold what it needs: a search for a literal costs far less than the pattern. What
+    rules put in place creates no such literal that wasn't there, so the text as given decides."""
+
+    def rules(s: Column) -> Column:
+        out = s["text"]
+        for (pattern, replacement), needed in zip(ANONYMISE_RULES, NEEDED, strict=True):
+            if needed is None:
+                out = F.regexp_replace(out, pattern, replacement)
+            else:
+                there = reduce(lambda a, b: a | b, [s["low"].contains(n) for n in needed])
+                out = F.regexp_replace(out, F.when(there, F.lit(pattern)).otherwise(F.lit(NEVER)), F.lit(replacement))
+        return out
+
+    # bound by a lambda, so that the lower-cased text is made once
+    out = F.get(F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), rules), F.lit(0))
     for name in sorted(set(names or []), key=len, reverse=True):
         out = F.regexp_replace(out, r"(?<!\w)\Q" + name.replace(r"\E", "") + r"\E(?!\w)", "anon")
     return out

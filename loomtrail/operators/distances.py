@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.store import stored
+from .statistics import with_total
+
 
 def jaccard_distance(a: Column, b: Column) -> Column:
     """Two empty sets are at distance 0."""
@@ -44,15 +45,14 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def pairs_within(rows: DataFrame, group: str, key: str, columns: list[str]) -> DataFrame:
-    """Unordered pairs of rows of one group: group, key_a < key_b, and each column twice."""
-    side = lambda s: rows.select(group, *[F.col(c).alias(f"{c}_{s}") for c in (key, *columns)])
-    return side("a").join(side("b"), group).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
-
+def stated_pairs(rows: DataFrame, key: str, columns: list[str], every: int) -> DataFrame:
+    """Pairs of a query, a row whose key is divisible by `every`, and any other row: key_a, key_b, and each column twice.
 
-def nearest(distances: DataFrame, i: str, j: str, d: str, k: int) -> DataFrame:
-    """The k nearest j of each i, ties to the smaller j."""
-    return distances.withColumn("rank", F.row_number().over(Window.partitionBy(i).orderBy(d, j))).where(F.col("rank") <= k)
+    Rows are dealt to blocks, and each query goes to each block once, so a task holds one block."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda s, block: rows.select(block.alias("_block"), *[F.col(c).alias(f"{c}_{s}") for c in (key, *columns)])
+    asked = side("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.pmod(F.col(f"{key}_a"), F.lit(every)) == 0)
+    return asked.join(side("b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "_block").where(F.col(f"{key}_a") != F.col(f"{key}_b")).drop("_block")
 
 
 def dtw_similarity(a: list, b: list) -> float:
@@ -109,60 +109,47 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
     return int(tree[-1, -1])
 
 
-def farthest_first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For one group of (i, d_a, row): the greedy order, each step the point farthest from all covered ones, and the share within tau.
-
-    Sequential by nature; `row` holds a point's distances to all points of the group, so groups must fit in a task."""
-    for f in frames:
-        f = f.sort_values("i")
-        ids, near = f["i"].tolist(), f["d_a"].to_numpy(float).copy()
-        rows = np.stack(f["row"].to_numpy())
-        tau, left, out = float(np.median(near)), list(range(len(ids))), []
-        out.append((0, None, float((near <= tau).mean())))
-        own = near.copy()
-        while left:
-            best = max(left, key=lambda k: own[k])
-            left.remove(best)
-            rest = np.array(left, int)
-            own[rest] = np.minimum(own[rest], rows[best][rest])
-            out.append((len(out), ids[best], float((own <= tau).mean())))
-        yield pd.DataFrame(out, columns=["step", "chosen", "coverage"]).astype({"chosen": "Int64"})
-
-
-def cover_order(covers: dict[int, set[int]], n: int) -> list[tuple[int, int, float]]:
-    """step, chosen, covered share; ties go to the smaller id."""
-    covered: set[int] = set()
-    out, left = [], sorted(covers)
-    while left and len(covered) < n:
-        best = max(left, key=lambda i: (len(covers[i] - covered), -i))
-        covered |= covers[best]
-        left.remove(best)
-        out.append((len(out) + 1, best, len(covered) / n))
-    return out
-
-
-def greedy_cover(neighbours: DataFrame, n: int) -> DataFrame:
-    """Max-coverage order from rows (i, j) of who covers whom: step, chosen, covered share. A driver loop over n items at most."""
-    spark = neighbours.sparkSession
-    covers: dict[int, set[int]] = {}
-    for r in neighbours.toLocalIterator():
-        covers.setdefault(r["i"], set()).add(r["j"])
-    return spark.createDataFrame(cover_order(covers, n), "step int, chosen long, covered double")
-
-
-def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
-    """i, silhouette: from symmetric distances (i, j, d) and labels (i, label)."""
-    of = labels.select(F.col("i").alias("j"), F.col("label").alias("other"))
-    mean = distances.where("i <> j").join(of, "j").groupBy("i", "other").agg(F.avg("d").alias("m"))
-    own = mean.join(labels, "i").groupBy("i").agg(F.max(F.when(F.col("other") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("m"))).alias("b"))
-    return own.select("i", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+def farthest_first(vectors: DataFrame, steps: int) -> DataFrame:
+    """step (from 1), chosen, distance: greedy order of (id, v), v of unit length; ties go to the smaller id. One pass over the rows for each step."""
+    spark, taken, out = vectors.sparkSession, [], []
+    rows = vectors.where("id IS NOT NULL AND v IS NOT NULL")
+    for step in range(1, steps + 1):
+        if taken:
+            near = F.least(F.lit(2.0), *[1 - dot(F.col("v"), F.array(*map(F.lit, t))) for t in taken])
+            best = rows.where(~F.col("id").isin([i for _, i, _ in out])).select("id", "v", F.round(near, 9).alias("d"))
+        else:
+            best = rows.select("id", "v", F.lit(None).cast("double").alias("d"))
+        top = best.orderBy(F.desc("d"), "id").limit(1).collect()
+        if not top:
+            break
+        taken.append(top[0]["v"])
+        out.append((step, top[0]["id"], top[0]["d"]))
+    return spark.createDataFrame(out, "step int, chosen long, distance double")
+
+
+def greedy_cover(covers: DataFrame, steps: int) -> DataFrame:
+    """step, chosen, newly: greedy order from distinct rows (i, j) of who covers whom; ties go to the smaller i. Counts and covered rows stay distributed."""
+    spark, out, left = covers.sparkSession, [], stored(covers, "covers")
+    for step in range(1, steps + 1):
+        top = left.groupBy("i").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "i").limit(1).collect()
+        if not top:
+            break
+        out.append((step, top[0]["i"], top[0]["n"]))
+        left = stored(left.join(left.where(F.col("i") == top[0]["i"]).select("j"), "j", "left_anti"), "covers")
+    return spark.createDataFrame(out, "step int, chosen long, newly long")
+
+
+def silhouette_of_means(mean: DataFrame) -> DataFrame:
+    """id, silhouette: from mean distances m of each id, of some label, to each other label."""
+    same = F.col("other") == F.col("label")
+    own = mean.groupBy("id").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
+    return own.select("id", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def cluster_metrics(rows: DataFrame, predicted: str, reference: str) -> DataFrame:
     """n, homogeneity, completeness, v_measure, ari, nmi (arithmetic), from the contingency table; rows with a null label are left out."""
     c = rows.where(F.col(predicted).isNotNull() & F.col(reference).isNotNull()).groupBy(predicted, reference).agg(F.count("*").alias("n"))
-    everything = Window.partitionBy(F.lit(0))
-    c = c.withColumns({"t": F.sum("n").over(everything), "p": F.sum("n").over(Window.partitionBy(predicted)), "r": F.sum("n").over(Window.partitionBy(reference))})
+    c = with_total(c, "n", "t").withColumns({"p": F.sum("n").over(Window.partitionBy(predicted)), "r": F.sum("n").over(Window.partitionBy(reference))})
     two = lambda x: x * (x - 1) / 2
     n, t, p, r = (F.col(x).cast("double") for x in "ntpr")
     s = c.agg(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,23 +17,30 @@ def distribution(counts: DataFrame, group: str, item: str, n: str = "n") -> Data
     return counts.select(group, item, (F.col(n) / F.sum(n).over(Window.partitionBy(group))).alias("p"))
 
 
-def jsd_matrix(dist: DataFrame, group: str, item: str, base: float = 2.0) -> DataFrame:
-    """group_a < group_b, jsd: Jensen-Shannon divergence (the squared distance) of each pair of groups.
+def with_total(counts: DataFrame, n: str, name: str) -> DataFrame:
+    """counts and the sum of n over all of them, from an aggregate of one row; counts are written first, so they are made once."""
+    kept = stored(counts, "counts")
+    return kept.join(F.broadcast(kept.agg(F.sum(n).alias(name))))
+
+
+def jsd_matrix(dist: DataFrame, group: str, item: str, base: float = 2.0, within: str | None = None) -> DataFrame:
+    """group_a < group_b, jsd: Jensen-Shannon divergence (the squared distance) of each pair of groups, with `within` of those alike in it only.
 
     An item of one group alone adds p/2; so only items of both are joined, and the rest follows from the sums:
     the shares of each group add up to one."""
-    side = lambda s: dist.select(F.col(group).alias(f"group_{s}"), F.col(item).alias("item"), F.col("p").alias(s))
+    dist = dist.withColumn("_within", F.col(within) if within else F.lit(0))
+    side = lambda s: dist.select("_within", F.col(group).alias(f"group_{s}"), F.col(item).alias("item"), F.col("p").alias(s))
     a, b = side("a"), side("b")
     m = (F.col("a") + F.col("b")) / 2
     log = lambda x: F.log(x) / math.log(base)
-    both = a.join(b, "item").where("group_a < group_b").groupBy("group_a", "group_b").agg(
+    both = a.join(b, ["_within", "item"]).where("group_a < group_b").groupBy("_within", "group_a", "group_b").agg(
         F.sum(0.5 * F.col("a") * log(F.col("a") / m) + 0.5 * F.col("b") * log(F.col("b") / m)).alias("s"), F.sum("a").alias("sa"), F.sum("b").alias("sb")
     )
-    groups = dist.select(group).distinct()
-    pairs = groups.withColumnRenamed(group, "group_a").join(groups.withColumnRenamed(group, "group_b"), F.col("group_a") < F.col("group_b"))  # as many rows as pairs of groups
+    groups = dist.select("_within", F.col(group).alias("group_a")).distinct()
+    pairs = groups.join(groups.withColumnRenamed("group_a", "group_b"), "_within").where("group_a < group_b")  # as many rows as pairs of groups: that is the result
     half = 0.5 * math.log(2) / math.log(base)
     alone = lambda c: half * (1 - F.coalesce(c, F.lit(0.0)))
-    return pairs.join(both, ["group_a", "group_b"], "left").select("group_a", "group_b", (F.coalesce("s", F.lit(0.0)) + alone(F.col("sa")) + alone(F.col("sb"))).alias("jsd"))
+    return pairs.join(both, ["_within", "group_a", "group_b"], "left").select(*([F.col("_within").alias(within)] if within else []), "group_a", "group_b", (F.coalesce("s", F.lit(0.0)) + alone(F.col("sa")) + alone(F.col("sb"))).alias("jsd"))
 
 
 def entropy(dist: DataFrame, group: str) -> DataFrame:
@@ -50,9 +56,8 @@ def width_at_coverage(counts: DataFrame, group: str, item: str, share: float, n:
 
 def novelty(counts: DataFrame, group: str, item: str, eps: float = 1.0, least: int = 5, n: str = "n") -> DataFrame:
     """log2 of an item's smoothed rate in a group over its rate in the corpus, for items counted often enough there."""
-    total = F.sum(n).over(Window.partitionBy(F.lit(0)))
     c, a_all = F.sum(n).over(Window.partitionBy(item)), F.sum(n).over(Window.partitionBy(group))
-    rows = counts.withColumns({"c": c, "c_all": total, "a_all": a_all}).where(F.col("c") >= least)
+    rows = with_total(counts, n, "c_all").withColumns({"c": c, "a_all": a_all}).where(F.col("c") >= least)
     rate = lambda x, y: (x + eps) / (y + eps)
     return rows.select(group, item, F.log2(rate(F.col(n), F.col("a_all")) / rate(F.col("c"), F.col("c_all"))).alias("log_odds"))
 
@@ -67,8 +72,8 @@ def gini(values: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
 def mutual_information(counts: DataFrame, x: str, y: str, strata: list[str] | None = None, n: str = "n") -> DataFrame:
     """strata, n, mi_bits and mi_share (of H(y)): from joint counts; never below 0."""
     by = strata or [F.lit(0).alias("all")]
-    total = lambda *more: F.sum(n).over(Window.partitionBy(*(strata or [F.lit(0)]), *more))
-    rows = counts.withColumns({"_t": total(), "_x": total(x), "_y": total(y)})
+    total = lambda *more: F.sum(n).over(Window.partitionBy(*(strata or []), *more))
+    rows = (counts.withColumn("_t", total()) if strata else with_total(counts, n, "_t")).withColumns({"_x": total(x), "_y": total(y)})
     p, q = F.col(n) / F.col("_t"), F.col("_y") / F.col("_t")
     mi = F.sum(p * F.log2(F.col(n) * F.col("_t") / (F.col("_x") * F.col("_y"))))
     h = F.sum(-p * F.log2(q))
@@ -91,11 +96,16 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, tie: str, alpha: float = 0.05) -> DataFrame:
-    """rows with q and significant: reverse running minimum of p * n / rank."""
-    everything = Window.partitionBy(F.lit(0))
-    ranked = rows.withColumns({"_rank": F.row_number().over(everything.orderBy(p, tie)), "_n": F.count("*").over(everything)})
-    back = everything.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(back))).withColumn("significant", F.col("q") <= alpha).drop("_rank", "_n")
+    """rows with q and significant: the smallest p * n / rank of this rank and all later ones, by ranges of p."""
+    ranked = ranked_values(rows, p, tie, with_range=True)
+    n = F.broadcast(rows.agg(F.count("*").alias("_all_rows")))  # one row
+    adjusted = stored(ranked.join(n).withColumn("_raw", F.col(p) * F.col("_all_rows") / (F.col("_before") + F.col("_n"))), "adjusted")
+    later = adjusted.groupBy("_range").agg(F.min("_raw").alias("_least"))
+    beyond = later.select("_range", F.min("_least").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_beyond"))  # a row a range
+    back = Window.partitionBy("_range").orderBy(F.desc("_before")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("_raw").over(back), F.col("_beyond"))
+    values = adjusted.join(F.broadcast(beyond), "_range").select(p, tie, q.alias("q"))
+    return rows.join(values, [p, tie]).withColumn("significant", F.col("q") <= alpha)
 
 
 def mantel_haenszel(tables: DataFrame, by: list[str]) -> DataFrame:
@@ -110,10 +120,17 @@ def mantel_haenszel(tables: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("p", F.coalesce(_chi2_sf("chi2"), F.lit(1.0)))
 
 
-@F.pandas_udf(DoubleType())
-def _chi2_sf(x: pd.Series) -> pd.Series:
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, to about 1e-12 of itself: a series below 2, a continued fraction above."""
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda a, k: F.struct((a["t"] * x * x * 2 / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x * x * 2 / (2 * k + 1)).alias("s")), lambda a: a["s"])
+    low = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), x.cast("double"), lambda a, k: x + k / 2 / a)
+    return F.when(x < 2, low).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction)
+
+
+def _chi2_sf(x: str) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
-    return x.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(v / 2)))
+    return erfc(F.sqrt(F.col(x) / 2))
 
 
 @F.pandas_udf(DoubleType())
@@ -129,7 +146,7 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([one(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
 
 
-def ranked_values(rows: DataFrame, *order: str) -> DataFrame:
+def ranked_values(rows: DataFrame, *order: str, with_range: bool = False) -> DataFrame:
     """Distinct values of `order` with _n (rows) and _before (rows that sort before them), without one task for all rows.
 
     Values are dealt by ranges; each range counts on from the sum of those before it, a row a range."""
@@ -138,7 +155,7 @@ def ranked_values(rows: DataFrame, *order: str) -> DataFrame:
     totals = dealt.groupBy("_range").agg(F.sum("_n").alias("_all"))
     starts = totals.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_start"))
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(starts), "_range").select(*order, "_n", (F.col("_start") + F.col("_upto") - F.col("_n")).alias("_before"))
+    return dealt.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(starts), "_range").select(*order, *(["_range"] if with_range else []), "_n", (F.col("_start") + F.col("_upto") - F.col("_n")).alias("_before"))
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -165,20 +182,19 @@ def rank_sum(rows: DataFrame, value: str, group: str) -> DataFrame:
     return per.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("t")).select("n", "groups", (12 / (F.col("n") * (F.col("n") + 1)) * F.col("t") - 3 * (F.col("n") + 1)).alias("h"))
 
 
-def wilcoxon_signed_rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (key, deltas array<double>): key, n, w, p by the normal approximation, zeros left out."""
-    for frame in frames:
-        rows = []
-        for key, deltas in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-            d = pd.Series([x for x in deltas if x])
-            n = len(d)
-            ranks = d.abs().rank()
-            up = float(ranks[d > 0].sum())
-            w = min(up, n * (n + 1) / 2 - up)
-            ties = sum(t**3 - t for t in ranks.value_counts())
-            sd = math.sqrt(max(1e-12, n * (n + 1) * (2 * n + 1) / 24 - ties / 48))
-            rows.append((key, n, w, 1.0 if n == 0 else math.erfc(abs(w - n * (n + 1) / 4) / sd / math.sqrt(2))))
-        yield pd.DataFrame(rows, columns=["key", "n", "w", "p"])
+def wilcoxon_signed_rank(deltas: DataFrame, key: str, delta: str) -> DataFrame:
+    """key, n, w, p by the normal approximation; zeros are left out. Ranks of |delta| come from counts of distinct values by ranges, so no key is one task."""
+    d = deltas.where(F.col(delta) != 0).select(F.col(key).alias("key"), F.abs(delta).alias("size"), (F.col(delta) > 0).cast("long").alias("up"))
+    sizes = ranked_values(d, "key", "size")
+    first = sizes.groupBy("key").agg(F.min("_before").alias("_first"), F.sum("_n").alias("n"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("ties"))
+    ups = d.groupBy("key", "size").agg(F.sum("up").alias("ups"))
+    rank = F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2
+    sums = sizes.join(ups, ["key", "size"]).join(first.select("key", "_first"), "key").groupBy("key").agg(F.sum(F.col("ups") * rank).alias("plus")).join(first, "key")
+    n = F.col("n").cast("double")
+    w = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
+    sd = F.sqrt(F.greatest(F.lit(1e-12), n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    tested = sums.select("key", "n", w.alias("w"), erfc(F.abs(w - n * (n + 1) / 4) / sd / math.sqrt(2)).alias("p"))
+    return deltas.select(F.col(key).alias("key")).distinct().join(tested, "key", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def bootstrap_draws(rows: DataFrame, draws: int, id_: str, seed: int = 7) -> DataFrame:
@@ -194,10 +210,10 @@ def bootstrap_draws(rows: DataFrame, draws: int, id_: str, seed: int = 7) -> Dat
 
 
 def shuffled_labels(rows: DataFrame, label: str, id_: str, permutations: int, seed: int = 11) -> DataFrame:
-    """rows once per permutation (from 1), with label moved along a hash order; permutation 0 keeps it."""
-    w = lambda *order: Window.partitionBy("permutation").orderBy(*order)
+    """rows once per permutation (from 1), with label moved along a hash order; permutation 0 keeps it. Places come from ranges, so no permutation is one task."""
     many = rows.select(id_, label).withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    key = F.when(F.col("permutation") > 0, F.xxhash64(F.lit(seed), "permutation", id_))
-    left = many.withColumn("place", F.row_number().over(w(F.col(id_)))).select("permutation", "place", id_)
-    right = many.withColumn("place", F.row_number().over(w(key, F.col(id_)))).select("permutation", "place", label)
+    key = F.when(F.col("permutation") > 0, F.xxhash64(F.lit(seed), "permutation", id_)).otherwise(F.lit(0))
+    left = ranked_values(many, "permutation", id_).select("permutation", F.col("_before").alias("place"), id_)
+    right = many.withColumn("_key", key)
+    right = ranked_values(right, "permutation", "_key", id_).join(right, ["permutation", "_key", id_]).select("permutation", F.col("_before").alias("place"), label)
     return left.join(right, ["permutation", "place"]).drop("place")

@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import distances as D
 from ..operators import sequences as S
-from ..operators import statistics as A
 from .registry import TRACES, query, rounded, table, traces
 
-CERTS = f"{TRACES}, cert AS (SELECT id, any_value(agent) AS agent, id // 8 AS grp, list_sort(list(DISTINCT k % 12)) AS ops FROM ev GROUP BY id)"
+CERTS = f"{TRACES}, cert AS (SELECT id, any_value(agent) AS agent, list_sort(list(DISTINCT k % 12)) AS ops FROM ev GROUP BY id)"
 
 
 def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, agent, grp, ops: the set of operations of each trace; pairs are made within grp (a block of ids)."""
-    return traces(spark, sf_dir).groupBy("id").agg(F.first("agent").alias("agent"), F.sort_array(F.collect_set(F.pmod("k", F.lit(12)))).alias("ops")).withColumn("grp", F.floor(F.col("id") / 8))
+    """id, agent, ops: the set of operations of each trace."""
+    return traces(spark, sf_dir).groupBy("id").agg(F.first("agent").alias("agent"), F.sort_array(F.collect_set(F.pmod("k", F.lit(12)))).alias("ops"))
 
 
 @query(f"""
-WITH {CERTS}, p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.ops, b.ops)) AS i, len(a.ops) AS x, len(b.ops) AS y FROM cert a JOIN cert b ON a.grp = b.grp AND a.id < b.id)
+WITH {CERTS}, p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.ops, b.ops)) AS i, len(a.ops) AS x, len(b.ops) AS y FROM cert a JOIN cert b ON a.id % 20 = 0 AND a.id <> b.id)
 SELECT id_a, id_b, round(1 - i / (x + y - i), 6) AS jaccard, round((x + y - 2 * i) / (x + y), 6) AS dice FROM p""")
 def set_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("ops_a"), F.col("ops_b")
-    return D.pairs_within(certificates(spark, sf_dir), "grp", "id", ["ops"]).select("id_a", "id_b", rounded(D.jaccard_distance(a, b)).alias("jaccard"), rounded(D.dice_distance(a, b)).alias("dice"))
+    return D.stated_pairs(certificates(spark, sf_dir), "id", ["ops"], EVERY).select("id_a", "id_b", rounded(D.jaccard_distance(a, b)).alias("jaccard"), rounded(D.dice_distance(a, b)).alias("dice"))
 
 
 LETTERS = {"click": "c", "view": "v", "purchase": "p", "signup": "s", "error": "e"}
 
 
-@query(f"WITH {TRACES}, s AS (SELECT id, id // 8 AS grp, string_agg(left(type, 1), '' ORDER BY pos) AS s FROM ev GROUP BY id) SELECT a.id AS id_a, b.id AS id_b, round(levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) AS distance FROM s a JOIN s b ON a.grp = b.grp AND a.id < b.id")
+@query(f"WITH {TRACES}, s AS (SELECT id, string_agg(left(type, 1), '' ORDER BY pos) AS s FROM ev GROUP BY id) SELECT a.id AS id_a, b.id AS id_b, round(levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) AS distance FROM s a JOIN s b ON a.id % 20 = 0 AND a.id <> b.id")
 def token_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = S.sequences(traces(spark, sf_dir), ["id"], "type").withColumn("grp", F.floor(F.col("id") / 8))
+    seqs = S.sequences(traces(spark, sf_dir), ["id"], "type")
     code = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
-    return D.pairs_within(seqs, "grp", "id", ["seq"]).select("id_a", "id_b", rounded(D.token_distance(F.col("seq_a"), F.col("seq_b"), code)).alias("distance"))
+    return D.stated_pairs(seqs, "id", ["seq"], EVERY).select("id_a", "id_b", rounded(D.token_distance(F.col("seq_a"), F.col("seq_b"), code)).alias("distance"))
 
 
 @query()
 def dtw_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = S.sequences(traces(spark, sf_dir), ["id"], "type").withColumn("grp", F.floor(F.col("id") / 8))
-    return D.pairs_within(seqs, "grp", "id", ["seq"]).select("id_a", "id_b", rounded(D.dtw("seq_a", "seq_b")).alias("similarity"))
+    seqs = S.sequences(traces(spark, sf_dir), ["id"], "type")
+    return D.stated_pairs(seqs, "id", ["seq"], EVERY).select("id_a", "id_b", rounded(D.dtw("seq_a", "seq_b")).alias("similarity"))
 
 
 HALVES = f"{TRACES}, ref AS (SELECT k FROM ev WHERE ts < TIMESTAMP '2024-01-16' GROUP BY k HAVING count(*) >= 2), new AS (SELECT id, k FROM ev WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY id, k)"
@@ -60,63 +60,100 @@ def leave_one_out_ood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(users, "k").groupBy("id").agg(rounded(F.avg((F.col("users") <= 1).cast("double"))).alias("ood"))
 
 
-# Vectors by blocks of ids: pairs are made within a block of 50, so the number of pairs follows the number of vectors.
-VECTORS = "v AS (SELECT vec_id AS i, vec_id // 50 AS blk, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.blk, a.i, b.i AS j, a.label AS li, b.label AS lj, 1 - list_cosine_similarity(a.e, b.e) AS d FROM v a JOIN v b ON a.blk = b.blk AND a.i <> b.i)"
+# Neighbours and pairs of vectors: the queries are the rows whose id is divisible by 20, held against all rows.
+VECTORS = "v AS (SELECT vec_id AS i, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.i, b.i AS j, a.label AS li, b.label AS lj, 1 - list_cosine_similarity(a.e, b.e) AS d FROM v a JOIN v b ON a.i <> b.i)"
+ASKED = f"{VECTORS}, q AS (SELECT * FROM d WHERE i % 20 = 0)"
+EVERY = 20
 
 
-def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.floor(F.col("vec_id") / 50).alias("blk"), "label", D.normalised(F.col("embedding")).alias("e"))
-    b = v.select("blk", F.col("i").alias("j"), F.col("label").alias("lj"), F.col("e").alias("f"))
-    return v.withColumnRenamed("label", "li").join(b, "blk").where("i <> j").select("blk", "i", "j", "li", "lj", (1 - D.dot(F.col("e"), F.col("f"))).alias("d"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
 
 
-@query(f"WITH {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS rk FROM d) SELECT i, round(avg(CASE WHEN lj >= 5 THEN 1.0 ELSE 0.0 END), 6) AS predicted FROM r WHERE rk <= 5 GROUP BY i")
+def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return B.nearest(v.where(F.pmod("id", F.lit(EVERY)) == 0), v, k)
+
+
+@query(f"WITH {ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS rk FROM q) SELECT i, round(avg(CASE WHEN lj >= 5 THEN 1.0 ELSE 0.0 END), 6) AS predicted FROM r WHERE rk <= 5 GROUP BY i")
 def knn_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = D.nearest(vector_distances(spark, sf_dir).withColumn("d", F.round("d", 9)), "i", "j", "d", 5)
-    return near.groupBy("i").agg(rounded(F.avg((F.col("lj") >= 5).cast("double"))).alias("predicted"))
+    return neighbours(spark, sf_dir, 5).groupBy("i").agg(rounded(F.avg((F.col("lj") >= 5).cast("double"))).alias("predicted"))
 
 
-@query(f"""WITH {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS rk FROM d), p AS (SELECT i, any_value(li) >= 5 AS truth, avg(CASE WHEN lj >= 5 THEN 1.0 ELSE 0.0 END) >= 0.5 AS guess FROM r WHERE rk <= 5 GROUP BY i),
+@query(f"""WITH {ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS rk FROM q), p AS (SELECT i, any_value(li) >= 5 AS truth, avg(CASE WHEN lj >= 5 THEN 1.0 ELSE 0.0 END) >= 0.5 AS guess FROM r WHERE rk <= 5 GROUP BY i),
 c AS (SELECT count(*) FILTER (truth AND guess) AS tp, count(*) FILTER (NOT truth AND guess) AS fp, count(*) FILTER (truth AND NOT guess) AS fn FROM p) SELECT tp, fp, fn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
 def knn_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = D.nearest(vector_distances(spark, sf_dir).withColumn("d", F.round("d", 9)), "i", "j", "d", 5)
-    p = near.groupBy("i").agg((F.first("li") >= 5).alias("truth"), (F.avg((F.col("lj") >= 5).cast("double")) >= 0.5).alias("guess"))
+    p = neighbours(spark, sf_dir, 5).groupBy("i").agg((F.first("li") >= 5).alias("truth"), (F.avg((F.col("lj") >= 5).cast("double")) >= 0.5).alias("guess"))
     n = lambda c: F.count(F.when(F.expr(c), 1))
     c = p.agg(n("truth AND guess").alias("tp"), n("NOT truth AND guess").alias("fp"), n("truth AND NOT guess").alias("fn"))
     return c.withColumn("f1", rounded(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))))
 
 
-@query(f"WITH {VECTORS}, n AS (SELECT i, min(d) AS d FROM d GROUP BY i), t AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]) AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN d <= threshold THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM n, t GROUP BY threshold")
+@query(f"WITH {ASKED}, n AS (SELECT i, min(round(d, 9)) AS d FROM q GROUP BY i), t AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]) AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN d <= threshold THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM n, t GROUP BY threshold")
 def coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = vector_distances(spark, sf_dir).groupBy("i").agg(F.min("d").alias("d"))
+    near = neighbours(spark, sf_dir, 1)
     ts = (0.2, 0.4, 0.6, 0.8, 1.0)
     one = near.agg(*[F.avg((F.col("d") <= t).cast("double")).alias(f"t{k}") for k, t in enumerate(ts)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), rounded(F.col(f"t{k}")).alias("coverage")) for k, t in enumerate(ts)])).alias("s")).select("s.*")
 
 
+@query(f"WITH {VECTORS} SELECT i, round(min(d) FILTER (lj >= 5), 6) AS to_passed, round(avg(d) FILTER (lj >= 5), 6) AS mean_to_passed FROM d WHERE i % 20 = 0 GROUP BY i")
+def distance_to_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vector of the passed side, and the mean distance to that side, which follows from the sum of its vectors."""
+    v = vectors(spark, sf_dir)
+    asked, passed = v.where(F.pmod("id", F.lit(EVERY)) == 0), v.where("label >= 5")
+    near = B.nearest(asked, passed, 1).select("i", rounded(F.col("d")).alias("to_passed"))
+    unit = v.select("id", (F.col("label") >= 5).alias("label"), D.normalised(F.col("v")).alias("v"))
+    side = B.label_sums(unit.where("label"))
+    own = F.col("label").cast("int")
+    mean = unit.where(F.pmod("id", F.lit(EVERY)) == 0).join(F.broadcast(side.select("n", "s"))).select(F.col("id").alias("i"), rounded((F.col("n") - D.dot(F.col("v"), F.col("s"))) / (F.col("n") - own)).alias("mean_to_passed"))  # one row
+    return near.join(mean, "i")
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("id", "label", D.normalised(F.col("v")).alias("v"))
+
+
 @query(f"WITH {VECTORS} SELECT li AS label, round(avg(d) FILTER (li = lj) / avg(d) FILTER (li <> lj), 6) AS ratio FROM d GROUP BY li")
 def stratum_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.col("li") == F.col("lj")
-    return vector_distances(spark, sf_dir).groupBy(F.col("li").alias("label")).agg(rounded(F.avg(F.when(same, F.col("d"))) / F.avg(F.when(~same, F.col("d")))).alias("ratio"))
+    """Mean distance within a label over that to all others, of all pairs: unit vectors of sums s and t have the mean 1 - s.t / (n m)."""
+    sums = B.label_sums(unit_vectors(spark, sf_dir))  # a row a label
+    total = sums.agg(F.sum("n").alias("all_n"), F.collect_list("s").alias("all_s")).select("all_n", F.expr("aggregate(all_s, transform(all_s[0], x -> 0D), (a, b) -> zip_with(a, b, (x, y) -> x + y))").alias("all_s"))
+    r, n, m = sums.join(F.broadcast(total)), F.col("n"), F.col("all_n") - F.col("n")  # one row
+    inside = (n * n - D.dot(F.col("s"), F.col("s"))) / (n * (n - 1))
+    outside = (n * m - D.dot(F.col("s"), F.col("all_s")) + D.dot(F.col("s"), F.col("s"))) / (n * m)
+    return r.select("label", rounded(inside / outside).alias("ratio"))
 
 
-@query(f"WITH {VECTORS}, q AS (SELECT li = lj AS inside, round(d, 9) AS d FROM d WHERE i < j), r AS (SELECT inside, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS rk FROM q), s AS (SELECT sum(CASE WHEN inside THEN rk END) AS s, count(*) FILTER (inside) AS a, count(*) FILTER (NOT inside) AS b FROM r) SELECT round(1 - (s - a * (a + 1) / 2) / (a * b), 6) AS overlap FROM s")
-def stratum_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = vector_distances(spark, sf_dir).where("i < j").withColumn("d", F.round("d", 9))
-    return A.auc(pairs, "d", F.col("li") == F.col("lj")).select(rounded(1 - F.col("auc")).alias("overlap"))
+@query(f"WITH {VECTORS} SELECT li AS label, round(1 - avg(d), 6) AS convergence FROM d WHERE li = lj GROUP BY li")
+def response_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cosine of all pairs of a label, from the label's sum."""
+    n = F.col("n")
+    return B.label_sums(unit_vectors(spark, sf_dir)).where("n > 1").select("label", rounded((D.dot(F.col("s"), F.col("s")) - n) / (n * (n - 1))).alias("convergence"))
 
 
-@query(f"""WITH {VECTORS}, m AS (SELECT blk, i, li, lj, avg(d) AS m FROM d GROUP BY blk, i, li, lj), s AS (SELECT i, max(m) FILTER (lj = li) AS a, min(m) FILTER (lj <> li) AS b FROM m GROUP BY i)
+@query(f"""WITH {VECTORS}, m AS (SELECT i, li, lj, avg(d) AS m FROM d GROUP BY i, li, lj), s AS (SELECT i, max(m) FILTER (lj = li) AS a, min(m) FILTER (lj <> li) AS b FROM m GROUP BY i)
 SELECT i, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vector_distances(spark, sf_dir)
-    return D.silhouette(d.select("i", "j", "d"), d.select("i", F.col("li").alias("label")).distinct()).select("i", rounded(F.col("silhouette")).alias("silhouette"))
+    """Of all vectors over all pairs: the mean distance to a label follows from the label's sum. Labels are a class of the data, few rows."""
+    v = unit_vectors(spark, sf_dir)
+    sums = B.label_sums(v).select(F.col("label").alias("other"), "n", "s")
+    same = F.col("label") == F.col("other")
+    mean = v.join(F.broadcast(sums)).select("id", "label", "other", ((F.col("n") - D.dot(F.col("v"), F.col("s"))) / (F.col("n") - same.cast("int"))).alias("m"))
+    return D.silhouette_of_means(mean).select(F.col("id").alias("i"), rounded(F.col("silhouette")).alias("silhouette"))
 
 
-@query(f"""WITH {VECTORS}, p AS (SELECT a.i, a.j, a.d AS x, abs(a.li - a.lj) AS y FROM d a WHERE i < j), r AS (SELECT rank() OVER (ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY round(x, 9)) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p) SELECT round(corr(rx, ry), 6) AS rho FROM r""")
+@query(f"WITH {ASKED}, p AS (SELECT li = lj AS inside, round(d, 4) AS d FROM q), r AS (SELECT inside, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS rk FROM p), s AS (SELECT sum(CASE WHEN inside THEN rk END) AS s, count(*) FILTER (inside) AS a, count(*) FILTER (NOT inside) AS b FROM r) SELECT round(1 - (s - a * (a + 1) / 2) / (a * b), 6) AS overlap FROM s")
+def stratum_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a distance within a label is smaller than one between labels, over all pairs of queries and rows."""
+    v = vectors(spark, sf_dir)
+    return B.weighted_auc(B.distance_counts(v.where(F.pmod("id", F.lit(EVERY)) == 0), v), "d", F.col("gap") == 0).select(rounded(1 - F.col("auc")).alias("overlap"))
+
+
+@query(f"WITH {ASKED}, p AS (SELECT round(d, 4) AS x, abs(li - lj) AS y FROM q), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p) SELECT round(corr(rx, ry), 6) AS rho FROM r")
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vector_distances(spark, sf_dir).where("i < j").select(F.round("d", 9).alias("x"), F.abs(F.col("li") - F.col("lj")).alias("y"))
-    return A.average_ranks(A.average_ranks(p, "x", name="rx"), "y", name="ry").agg(rounded(F.corr("rx", "ry")).alias("rho"))
+    v = vectors(spark, sf_dir)
+    return B.weighted_rank_correlation(B.distance_counts(v.where(F.pmod("id", F.lit(EVERY)) == 0), v), "d", "gap").select(rounded(F.col("rho")).alias("rho"))
 
 
 @query("""
@@ -128,12 +165,6 @@ def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("n", *[rounded(F.col(c)).alias(c) for c in ("homogeneity", "completeness", "v_measure", "ari", "nmi")])
 
 
-@query(f"WITH {VECTORS}, e AS (SELECT d.blk, v.label, avg(list_cosine_similarity(v.e, w.e)) AS s FROM v JOIN v w ON v.blk = w.blk AND v.i < w.i AND v.label = w.label JOIN (SELECT DISTINCT blk FROM d) d ON d.blk = v.blk GROUP BY d.blk, v.label) SELECT blk, label, round(s, 6) AS convergence FROM e")
-def response_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vector_distances(spark, sf_dir).where("i < j AND li = lj")
-    return d.groupBy("blk", F.col("li").alias("label")).agg(rounded(F.avg(1 - F.col("d"))).alias("convergence"))
-
-
 @query(f"WITH {CERTS}, x AS (SELECT id, agent, unnest(ops) AS op FROM cert) SELECT agent, op, count(*) AS n, round(count(*) / any_value(t), 6) AS share FROM x JOIN (SELECT agent, count(*) AS t FROM cert GROUP BY agent) USING (agent) GROUP BY agent, op")
 def population_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     certs = certificates(spark, sf_dir)
@@ -142,34 +173,20 @@ def population_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.join(F.broadcast(total), "agent").select("agent", "op", "n", rounded(F.col("n") / F.col("t")).alias("share"))
 
 
+STEPS = 12
+
+
 @query()
 def farthest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy order within each block of vectors, from the distances to the next block (after the last: the first) as a reference set; a block without a next one refers to its own other vectors."""
-    d = vector_distances(spark, sf_dir)
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.floor(F.col("vec_id") / 50).alias("blk"), D.normalised(F.col("embedding")).alias("e"))
-    blocks = v.agg((F.max("blk") + 1).alias("blocks"))
-    reference = v.select(F.col("blk").alias("next"), F.col("e").alias("f"))
-    asked = v.join(F.broadcast(blocks)).withColumn("next", F.pmod(F.col("blk") + 1, F.col("blocks"))).where("next <> blk")
-    d_a = asked.join(reference, "next").groupBy("i").agg(F.min(1 - D.dot(F.col("e"), F.col("f"))).alias("to_next"))
-    full = d.select("blk", "i", "j", "d").unionByName(v.select("blk", "i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
-    rows = full.groupBy("blk", "i").agg(F.sort_array(F.collect_list(F.struct("j", "d")))["d"].alias("row"), F.min(F.when(F.col("i") != F.col("j"), F.col("d"))).alias("own"))
-    rows = rows.join(d_a, "i", "left").select("blk", "i", "row", F.coalesce("to_next", "own").alias("d_a"))
-    return rows.groupBy("blk").applyInPandas(lambda f: next(D.farthest_first(iter([f]))).assign(blk=f["blk"].iloc[0]), "step int, chosen long, coverage double, blk long")
+    """The STEPS vectors that a greedy order takes first, each the farthest from those taken; the first is the smallest id. One pass over all rows a step."""
+    return D.farthest_first(unit_vectors(spark, sf_dir), STEPS).withColumn("distance", rounded(F.col("distance")))
 
 
 @query()
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Max-coverage order within each block of vectors."""
-    d = vector_distances(spark, sf_dir).where("d < 0.7").select("blk", "i", "j")
-    own = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("blk"), F.col("vec_id").alias("i"), F.col("vec_id").alias("j"))
-
-    def order(f):
-        import pandas as pd
-
-        covers = {i: set(g) for i, g in f.groupby("i")["j"]}
-        return pd.DataFrame(D.cover_order(covers, len(covers)), columns=["step", "chosen", "covered"]).assign(blk=f["blk"].iloc[0])
-
-    return d.unionByName(own).groupBy("blk").applyInPandas(order, "step int, chosen long, covered double, blk long")
+    """The STEPS queries (ids divisible by 20) that greedily cover most of all vectors within a cosine distance of 0.7."""
+    v = vectors(spark, sf_dir)
+    return D.greedy_cover(B.within(v.where(F.pmod("id", F.lit(EVERY)) == 0), v, 0.7), STEPS)
 
 
 @query("SELECT l_orderkey, l_linenumber, round(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 2) AS running FROM lineitem")

@@ -64,10 +64,8 @@ SELECT bucket, count(*) AS pairs, round(avg(jsd), 6) AS mean_jsd, round(min(jsd)
 @query(BUCKET_JSD)
 def jsd_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = traces(spark, sf_dir).groupBy(F.pmod("k", F.lit(5)).alias("bucket"), "agent", "type").agg(F.count("*").alias("n"))
-    # groups are (bucket, agent); pairs of different buckets are dropped before they are summed
-    dist = A.distribution(counts.withColumn("g", F.struct("bucket", "agent")), "g", "type")
-    j = A.jsd_matrix(dist, "g", "type").where("group_a.bucket = group_b.bucket")
-    return j.groupBy(F.col("group_a.bucket").alias("bucket")).agg(F.count("*").alias("pairs"), *[rounded(f("jsd")).alias(f"{n}_jsd") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+    dist = A.distribution(counts.withColumn("g", F.struct("bucket", "agent")), "g", "type").withColumn("bucket", F.col("g.bucket"))
+    return A.jsd_matrix(dist, "g", "type", within="bucket").groupBy("bucket").agg(F.count("*").alias("pairs"), *[rounded(f("jsd")).alias(f"{n}_jsd") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
 
 
 @query(f"WITH {TRACES} SELECT agent, type, count(*) AS n, round(sum(value), 3) AS total, round(avg(value), 5) AS mean FROM ev WHERE type IN (SELECT type FROM ev GROUP BY type HAVING count(*) >= 100) GROUP BY agent, type")
@@ -101,13 +99,13 @@ def set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TRACES}, p AS (SELECT id, string_agg(left(type, 1), '' ORDER BY pos) AS s FROM ev WHERE pos <= 4 GROUP BY id), m AS (SELECT s AS template FROM p GROUP BY s ORDER BY count(*) DESC, s LIMIT 1), o AS (SELECT id, arg_max(type, pos) = 'purchase' AS passed FROM ev GROUP BY id)
+WITH {TRACES}, p AS (SELECT id, string_agg(left(type, 1), '' ORDER BY pos) AS s FROM ev GROUP BY id), o AS (SELECT id, arg_max(type, pos) = 'purchase' AS passed FROM ev GROUP BY id), m AS (SELECT s AS template FROM p JOIN o USING (id) WHERE passed GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)
 SELECT levenshtein(s, template) AS distance, count(*) AS n, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS rate FROM p JOIN o USING (id), m GROUP BY 1""")
 def modal_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = traces(spark, sf_dir)
-    p = S.sequences(rows.where("pos <= 4").withColumn("c", F.left("type", F.lit(1))), ["id"], "c").select("id", F.array_join("seq", "").alias("s"))
-    top = p.groupBy("s").count().orderBy(F.desc("count"), "s").limit(1).select(F.col("s").alias("template"))
-    return p.join(outcomes(spark, sf_dir), "id").join(F.broadcast(top)).groupBy(F.levenshtein("s", "template").cast("long").alias("distance")).agg(F.count("*").alias("n"), rounded(F.avg(F.col("passed").cast("double"))).alias("rate"))
+    p = S.sequences(rows.withColumn("c", F.left("type", F.lit(1))), ["id"], "c").select("id", F.array_join("seq", "").alias("s")).join(outcomes(spark, sf_dir), "id")
+    top = p.where("passed").groupBy("s").count().orderBy(F.desc("count"), "s").limit(1).select(F.col("s").alias("template"))
+    return p.join(F.broadcast(top)).groupBy(F.levenshtein("s", "template").cast("long").alias("distance")).agg(F.count("*").alias("n"), rounded(F.avg(F.col("passed").cast("double"))).alias("rate"))
 
 
 PATTERNS = {"look_edit_test": "SEARCH .*EDIT_SRC_PY .*RUN_PYTEST_TEST_PY ", "edit_edit": "EDIT_SRC_PY .*EDIT_SRC_PY ", "open_submit": "OPEN_SRC_PY .*SUBMIT "}
@@ -126,15 +124,16 @@ def early_action_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TRACES}, t AS (SELECT unnest([3, 5, 10, 20]) AS steps), c AS (SELECT steps, agent, type, count(*) AS n FROM ev, t WHERE pos <= steps AND agent IN (0, 1) GROUP BY ALL), d AS (SELECT steps, agent, type, n / sum(n) OVER (PARTITION BY steps, agent) AS p FROM c),
-j AS (SELECT coalesce(a.steps, b.steps) AS steps, coalesce(a.p, 0) AS a, coalesce(b.p, 0) AS b FROM (SELECT * FROM d WHERE agent = 0) a FULL JOIN (SELECT * FROM d WHERE agent = 1) b ON a.steps = b.steps AND a.type = b.type)
-SELECT steps, round(sum(CASE WHEN a > 0 THEN a / 2 * ln(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b / 2 * ln(2 * b / (a + b)) ELSE 0 END), 6) AS jsd FROM j GROUP BY steps""")
+WITH {TRACES}, t AS (SELECT unnest([3, 5, 10, 20]) AS steps), c AS (SELECT steps, agent, type, count(*) AS n FROM ev, t WHERE pos <= steps GROUP BY ALL), d AS (SELECT steps, agent, type, n / sum(n) OVER (PARTITION BY steps, agent) AS p FROM c),
+g AS (SELECT DISTINCT steps, agent FROM c), v AS (SELECT DISTINCT type FROM c), f AS (SELECT g.steps, g.agent, v.type, coalesce(p, 0) AS p FROM g CROSS JOIN v LEFT JOIN d USING (steps, agent, type)),
+j AS (SELECT a.steps, a.agent AS agent_a, b.agent AS agent_b, a.p AS a, b.p AS b FROM f a JOIN f b ON a.steps = b.steps AND a.type = b.type AND a.agent < b.agent)
+SELECT steps, agent_a, agent_b, round(sum(CASE WHEN a > 0 THEN a / 2 * ln(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b / 2 * ln(2 * b / (a + b)) ELSE 0 END), 6) AS jsd FROM j GROUP BY ALL""")
 def jsd_at_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = traces(spark, sf_dir).where("agent IN (0, 1)")
+    rows = traces(spark, sf_dir)
     steps = rows.withColumn("steps", F.explode(F.filter(F.array(*map(F.lit, (3, 5, 10, 20))), lambda t: t >= F.col("pos"))))
     dist = A.distribution(steps.groupBy("steps", "agent", "type").agg(F.count("*").alias("n")).withColumn("g", F.struct("steps", "agent")), "g", "type")
-    j = A.jsd_matrix(dist, "g", "type", 2.718281828459045).where("group_a.steps = group_b.steps")
-    return j.select(F.col("group_a.steps").alias("steps"), rounded(F.col("jsd")).alias("jsd"))
+    j = A.jsd_matrix(dist.withColumn("steps", F.col("g.steps")), "g", "type", 2.718281828459045, within="steps")
+    return j.select("steps", F.col("group_a.agent").alias("agent_a"), F.col("group_b.agent").alias("agent_b"), rounded(F.col("jsd")).alias("jsd"))
 
 
 @query(f"""

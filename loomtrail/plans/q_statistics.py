@@ -201,7 +201,7 @@ def class_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("item")).distinct()
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("cls"))
     both = items.join(orders, "id").groupBy("item", "cls").agg(F.count("*").alias("both")).withColumn("support", F.sum("both").over(Window.partitionBy("item")))
-    share = orders.groupBy("cls").agg(F.count("*").alias("nc")).withColumn("share", F.col("nc") / F.sum("nc").over(Window.partitionBy(F.lit(0))))
+    share = orders.groupBy("cls").agg(F.count("*").alias("nc")).withColumn("share", F.col("nc") / F.sum("nc").over(Window.partitionBy()))  # a row a class
     return both.where("support >= 5").join(F.broadcast(share), "cls").select("item", "cls", "support", rounded(F.col("both") / F.col("support") / F.col("share")).alias("lift"))
 
 
@@ -210,7 +210,7 @@ WITH {TRACES}, g AS (SELECT DISTINCT id, type || '>' || lead(type) OVER (PARTITI
 ks AS (SELECT unnest([1, 2, 5, 10, 20]) AS top_k), s AS (SELECT id, top_k, avg(CASE WHEN rk <= top_k THEN 1.0 ELSE 0.0 END) AS share FROM h JOIN r USING (gram), ks GROUP BY id, top_k) SELECT top_k, round(avg(share), 6) AS mean_share FROM s GROUP BY top_k""")
 def reuse_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = S.adjacent_pairs(traces(spark, sf_dir), ["id"], "type").select("id", F.concat_ws(">", "a", "b").alias("gram")).distinct()
-    ranked = have.groupBy("gram").agg(F.count("*").alias("df")).withColumn("rk", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("df"), "gram")))
+    ranked = have.groupBy("gram").agg(F.count("*").alias("df")).withColumn("rk", F.row_number().over(Window.orderBy(F.desc("df"), "gram")))
     ks = (1, 2, 5, 10, 20)
     per = have.join(ranked, "gram").groupBy("id").agg(*[F.avg((F.col("rk") <= k).cast("double")).alias(str(k)) for k in ks])
     means = per.agg(*[F.avg(F.col(f"`{k}`")).alias(str(k)) for k in ks])
@@ -231,7 +231,7 @@ WITH {PAIRS}, pos AS (SELECT agent, id, pair FROM (SELECT agent, id, type || '>'
 SELECT id, round(avg(-log2(q)), 6) AS surprise FROM pos JOIN u ON u.item = pos.pair GROUP BY id""")
 def motif_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = S.adjacent_pairs(traces(spark, sf_dir), ["id", "agent"], "type").select("id", F.concat_ws(">", "a", "b").alias("item"))
-    q = pairs.groupBy("item").agg(F.count("*").alias("n")).select("item", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("q"))
+    q = A.with_total(pairs.groupBy("item").agg(F.count("*").alias("n")), "n", "total").select("item", (F.col("n") / F.col("total")).alias("q"))
     return pairs.join(q, "item").groupBy("id").agg(rounded(F.avg(-F.log2("q"))).alias("surprise"))
 
 
@@ -302,5 +302,5 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = traces(spark, sf_dir).groupBy("agent", "k", "type").agg(F.count("*").alias("n"))
     a, b = (counts.where(F.col("agent") == g).select("k", "type", F.col("n").alias(f"n{g}")) for g in (0, 1))
-    deltas = a.join(b, ["k", "type"]).groupBy("type").agg(F.sort_array(F.collect_list((F.col("n0") - F.col("n1")).cast("double"))).alias("deltas"))
-    return A.benjamini_hochberg(deltas.mapInPandas(A.wilcoxon_signed_rank, "key string, n long, w double, p double"), "p", "key")
+    deltas = a.join(b, ["k", "type"]).select("type", (F.col("n0") - F.col("n1")).cast("double").alias("delta"))
+    return A.benjamini_hochberg(A.wilcoxon_signed_rank(deltas, "type", "delta"), "p", "key")
