@@ -9,8 +9,8 @@ prefixes hold only such shingles, have no candidates at all.
    each shingle, the documents that have it (packed).
 2. By bucket, counts are added up; each block's share learns which of its shingles are in two documents or more.
 3. By block, documents get these shingles in rare-first order. Equal sets become one class.
-4. Prefix shingles are joined in rounds: each unresolved shingle has one leader (in later rounds, one for each of 16, 256
-   ... hash slots of the components left), which is paired with the classes of other components, not all pairs. Length, position and suffix (counts by hash range) must allow
+4. Prefix shingles are joined in rounds: each unresolved shingle has one leader, the class with the smallest share of
+   shingles that nobody else has (in later rounds, one for each of 16, 256 ... hash slots of the components left), which is paired with the classes of other components, not all pairs. Length, position and suffix (counts by hash range) must allow
    enough common shingles; pairs seen before drop out; the rest are verified once. Linked classes get one label,
    leaders retire, and a shingle whose classes all have one label is resolved. Each pair of classes with a common
    prefix shingle is thus either verified or already connected, so components are whole.
@@ -43,7 +43,7 @@ from .shingles import WORDS, set_digest, shingle_sets
 
 PERCENT = 75
 BITS, RANGES = 48, 16
-BLOCK_BYTES, BUCKET_BYTES, SLICE_CHARS = 8 << 20, 8 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, SLICE_CHARS = 6 << 20, 8 << 20, 1 << 20
 LEADERS_GROW, HOT, MOST_HOT = 16, 128, 50_000
 POSTINGS, REPEATED = -1, -2
 
@@ -234,7 +234,8 @@ def _enough(percent: int, common: str) -> str:
 def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, label: the component of each class (id, n, grams, prefix, ranges) that meets another."""
     explode = classes.select("id", F.col("n").cast("int").alias("n"), (F.col("n") - F.size("grams")).cast("int").alias("single"), F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("place", "gram"))
-    entries = explode.select("gram", "id", "n", (F.col("single") + F.col("place")).alias("at"))
+    # a set with few shingles of its own alone is near the middle of its copies, and so a good leader
+    entries = explode.select("gram", "id", "n", (F.col("single") + F.col("place")).alias("at"), F.floor(100 * F.col("single") / F.col("n")).cast("byte").alias("lone"))
     shared = entries.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("many")).where("low < high").select("gram", "many")
     shared = stored(shared, "shared")
     most = max(HOT, (shared.agg(F.sum("many")).first()[0] or 0) // MOST_HOT)
@@ -255,7 +256,7 @@ def link_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             live = stored(marked.join(open_.select("gram", "salt"), ["gram", "salt"]), "live")
             discard(held)
             held = live
-        leaders = live.groupBy("gram", F.pmod(F.xxhash64("label"), F.lit(few)).alias("slot")).agg(F.min(F.struct("id", "label", "n", "at")).alias("lead"), F.first("parts").alias("parts"))
+        leaders = live.groupBy("gram", F.pmod(F.xxhash64("label"), F.lit(few)).alias("slot")).agg(F.min(F.struct("lone", "id", "label", "n", "at")).alias("lead"), F.first("parts").alias("parts"))
         leaders = stored(leaders.select("gram", "parts", F.col("lead.id").alias("a"), F.col("lead.label").alias("a_label"), F.col("lead.n").alias("a_n"), F.col("lead.at").alias("a_at")), "leaders")
         other = live.select("gram", "salt", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
         met = (
