@@ -24,9 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones: that with the smallest doc_id (null last), of rows that repeat it any one.
 
-    Links are between rows, which get numbers of their own, so repeated and null ids take part like all others. Texts without
-    words and null texts are linked with nothing and all stay."""
-    numbered = stored(docs.select("*", F.monotonically_increasing_id().alias("__row")), "numbered")
+    Links are between rows. Where ids are unique and not null, they tell rows apart; else rows get numbers of their own, so
+    repeated and null ids take part like all others. Texts without words and null texts are linked with nothing and all stay."""
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+    if unique:
+        numbered = docs.select("*", F.col("doc_id").cast("long").alias("__row"))
+    else:
+        numbered = stored(docs.select("*", F.monotonically_increasing_id().alias("__row")), "numbered")
     found = jaccard.components(numbered.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
     rows = stored(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("first_row")), "row-components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row"))
