@@ -35,7 +35,7 @@ from .common import prepare, stored
 MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 8_000_000  # labelled rows and characters of each class
 FIT_STEPS, L2, SEGMENT, LEAST_SEGMENTS = 100, 1e-4, 64, 3
 THRESHOLD, SPAN_AT, REPEATS, MOST_EVIDENCE = 0.7, 0.5, 3, 30.0
-CHUNK, CACHE_WORDS = 64, 400_000
+CHUNK, CACHE_WORDS = 64, 150_000
 _WORDS = re.compile(r"\w+")
 
 
