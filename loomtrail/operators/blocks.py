@@ -119,6 +119,20 @@ def within(queries: DataFrame, rows: DataFrame, distance: float, digits: int = 9
     return _met(queries, rows, step, "i long, j long")
 
 
+def profile_distances(queries: DataFrame, rows: DataFrame, mean: list[float]) -> DataFrame:
+    """i, distance: the mean over all rows, the query's own included, of how far the query's distance to a row lies from that of `mean`, a mean of unit vectors."""
+    schema = pa.schema([("i", pa.int64()), ("s", pa.float64()), ("n", pa.int64())])
+    centre = np.array(mean, np.float64)
+
+    def step(q, r):
+        if r[2].shape[1] != len(centre):
+            return pa.RecordBatch.from_arrays([pa.array([], t.type) for t in schema], schema=schema)
+        s = np.abs(r[2] @ centre - q[2] @ r[2].T).sum(1)
+        return pa.RecordBatch.from_arrays([pa.array(q[0]), pa.array(s), pa.array(np.full(len(s), len(r[0])))], schema=schema)
+
+    return _met(queries, rows, step, "i long, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("distance"))
+
+
 COUNTS = pa.schema([("d", pa.float64()), ("gap", pa.int64()), ("n", pa.int64())])
 
 
