@@ -35,7 +35,7 @@ from .common import prepare, stored
 MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 8_000_000  # labelled rows and characters of each class
 FIT_STEPS, L2, SEGMENT, LEAST_SEGMENTS = 100, 1e-4, 64, 3
 THRESHOLD, SPAN_AT, REPEATS, MOST_EVIDENCE = 0.7, 0.5, 3, 30.0
-CHUNK, CACHE_WORDS = 64, 150_000
+CHUNK, CACHE_WORDS, COUNTED = 64, 150_000, 100_000
 _WORDS = re.compile(r"\w+")
 
 
@@ -251,7 +251,17 @@ def is_held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by feature and label, given out whenever COUNTED features are held, so a feature may have several rows."""
     once, often = (Counter(), Counter()), (Counter(), Counter())
+
+    def out(toxic: int) -> Iterator[pa.RecordBatch]:
+        names = list(once[toxic])
+        for k in range(0, len(names), 20_000):
+            some = names[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([once[toxic][f] for f in some], pa.int64()), pa.array([often[toxic][f] for f in some], pa.int64()), pa.array([toxic] * len(some), pa.int64())], names=["feature", "n1", "n3", "toxic"])
+        once[toxic].clear()
+        often[toxic].clear()
+
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = Counter()
@@ -260,11 +270,10 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     own[f] += n
             once[toxic].update(own.keys())
             often[toxic].update(f for f, n in own.items() if n >= REPEATS)
+            if len(once[toxic]) >= COUNTED:
+                yield from out(toxic)
     for toxic in (0, 1):
-        names = list(once[toxic])
-        for k in range(0, len(names), 20_000):
-            some = names[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([once[toxic][f] for f in some], pa.int64()), pa.array([often[toxic][f] for f in some], pa.int64()), pa.array([toxic] * len(some), pa.int64())], names=["feature", "n1", "n3", "toxic"])
+        yield from out(toxic)
 
 
 def _contexts(marks: frozenset):
