@@ -299,7 +299,7 @@ def corpus_prefixspan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixspan(S.sequences(traces(spark, sf_dir), ["id"], "atom"), 0.6, 4)
 
 
-ITEMSETS = f"{TRACES}, c AS (SELECT DISTINCT id, k % 6 AS op FROM ev WHERE pos <= 6)"
+ITEMSETS = f"{TRACES}, c AS (SELECT DISTINCT id, k % 9 AS op FROM ev WHERE type = 'error')"
 
 
 @query(f"""
@@ -310,5 +310,5 @@ SELECT array_to_string(items, ',') AS items, freq FROM f WHERE len(items) >= 2 A
 def closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.motifs import closed_itemsets as mine
 
-    certs = traces(spark, sf_dir).where("pos <= 6").groupBy("id").agg(F.collect_set(F.pmod("k", F.lit(6))).alias("ops"))
+    certs = traces(spark, sf_dir).where("type = 'error'").groupBy("id").agg(F.collect_set(F.pmod("k", F.lit(9))).alias("ops"))
     return mine(certs, "ops", 0.15).select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "freq")

@@ -116,15 +116,85 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(f"`{f.name}`").alias(f.name, metadata={NESTED_KEY: f.dataType.simpleString()}) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+WRITTEN = "path string, n long"
+
+
+def _write_parts(folder: str, kind: str):
+    """One file a partition: JSON lines in zstd frames, or a packed list of records. Files of failed attempts have names of their own and stay unlisted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        name, n, out, close = f"part-{uuid.uuid4().hex}.{kind}", 0, None, []
+        for f in frames:
+            for line in f["value"]:
+                if out is None:
+                    where.create_dir(base, recursive=True)
+                    raw = where.open_output_stream(f"{base}/{name}", compression=None)
+                    if kind == "jsonl.zst":
+                        import zstandard
+
+                        out = zstandard.ZstdCompressor().stream_writer(raw, closefd=False)
+                        close = [out, raw]
+                    else:
+                        out, close = raw, [raw]
+                out.write((line + "\n").encode() if kind == "jsonl.zst" else msgpack(json.loads(line)))
+                n += 1
+        for c in close:
+            c.close()
+        if out is not None:
+            yield pd.DataFrame([(f"{folder}/{name}", n)], columns=["path", "n"])
+
+    return run
+
+
+def _replace(spark: SparkSession, made: str, path: str, only: set[str] | None = None) -> None:
+    """Put a finished folder in the place of another one: the old one is moved aside, and goes when the new one is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, aside = hadoop(made), hadoop(path), hadoop(made + ".old")
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if only is not None:
+        for f in fs.listStatus(new):
+            if f.getPath().getName() not in only:
+                fs.delete(f.getPath(), False)
+    fs.mkdirs(old.getParent())
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"cannot put {path} in place")
+    if had:
+        fs.delete(aside, True)
+
+
 def export(df: DataFrame, path: str, kind: str | None = None) -> None:
-    """Write a folder of part files; readers see it when the committer is done."""
-    kind = kind or infer_format(path)
+    """Write a folder of part files beside the place it is meant for and move it there when all are done, so a failure leaves what was there.
+
+    A packed file is a sequence of records, as many as its partition holds."""
+    import uuid
+
+    kind, spark = kind or infer_format(path), df.sparkSession
+    made = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    only = None
     if kind == "parquet":
-        flatten(df).write.mode("overwrite").parquet(path)
+        flatten(df).write.parquet(made)
     elif kind in ("jsonl", "jsonl.gz"):
-        df.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip" if kind == "jsonl.gz" else "none").json(path)
+        df.write.option("ignoreNullFields", False).option("compression", "gzip" if kind == "jsonl.gz" else "none").json(made)
+    elif kind in ("jsonl.zst", "msgpack"):
+        lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+        rows = lines.mapInPandas(_write_parts(made, kind), WRITTEN).collect()  # a row a file
+        only = {r["path"].rpartition("/")[2] for r in rows}
+        if not rows:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(made)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     else:
         raise ValueError(f"cannot write {kind}")
+    _replace(spark, made, path, only)
 
 
 def export_strict(df: DataFrame, path: str, kind: str | None = None) -> dict[str, int]:

@@ -110,3 +110,22 @@ def test_strict_export_and_sidecar(spark, tmp_path):
     assert (tmp_path / "yes.jsonl").exists()
     assert json.loads(formats.sidecar(bad, "src", {"redact": ["secret"]}))["params"] == {"redact": 1}
     assert isinstance(formats.dataset_card("n", bad)["recordSet"], list) and isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+@pytest.mark.parametrize("kind", ["jsonl", "jsonl.gz", "jsonl.zst", "msgpack", "parquet"])
+def test_export_of_each_format_replaces_what_was_there(spark, tmp_path, kind):
+    schema = "id string, n long, events array<struct<type: string, x: double>>, note string"
+    rows = [("a", 1, [("run", 0.5), ("é", None)], None), ("b", -7, [], "line\\nbreak"), ("c", None, None, "")]
+    path = str(tmp_path / f"out.{kind}")
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    for many in (1, 2):
+        formats.export(df if many == 2 else df.limit(1), path)
+        back = formats.load(spark, path, schema=None if kind == "parquet" else schema)
+        assert back.count() == (3 if many == 2 else 1)
+    plain = lambda r: (r.id, r.n, [(e.type, e.x) for e in r.events] if r.events is not None else None, r.note)
+    assert sorted(map(plain, back.collect()), key=str) == sorted(rows, key=str)
+    bad = spark.createDataFrame([(1,)], "x int").select(F.raise_error(F.lit("no")).cast("string").alias("x"))
+    with pytest.raises(Exception):  # noqa: B017
+        formats.export(bad, path)
+    assert formats.load(spark, path, schema=None if kind == "parquet" else schema).count() == 3
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".old")] == []
