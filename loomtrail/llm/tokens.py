@@ -93,20 +93,33 @@ class Vocabulary:
                 out[p] = e.ids
         return out
 
+    def packed(self, pretokens: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens as little-endian unsigned 32-bit integers, cut from the ids of many words at once."""
+        out: dict[str, bytes] = {}
+        words, rest = [], []
+        for p in pretokens:
+            (words if _WORD(p) else rest).append(p)
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            raw, edge = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))).tolist()
+            for i, p in enumerate(some):
+                out[p] = raw[edge[i] : edge[i + 1]]
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                out[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        get, split = self.known.get, [self.split(t) for t in texts]
-        found = [list(map(get, tokens)) for tokens in split]
-        gaps = [[i for i, v in enumerate(values) if v is None] if None in values else [] for values in found]
-        new = {tokens[i] for tokens, gap in zip(split, gaps, strict=True) for i in gap}
-        fresh = {p: struct.pack(f"<{len(x)}I", *x) for p, x in self.encode(new).items()}
-        self.known.update(fresh)
-        for tokens, values, gap in zip(split, found, gaps, strict=True):
-            for i in gap:
-                values[i] = fresh[tokens[i]]
-            yield b"".join(values)
+        split = [self.split(t) for t in texts]
+        self.known.update(self.packed(set().union(*split).difference(self.known)))
+        get = self.known.__getitem__
+        for tokens in split:
+            yield b"".join(map(get, tokens))
 
 
 @cache
