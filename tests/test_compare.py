@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtrail.functions import query as Q
 from loomtrail.operators import comparisons as C
 from loomtrail.operators import patterns as P
+from loomtrail.operators import weights as W
 from loomtrail.sources import loaders as L
 
 
@@ -172,3 +173,19 @@ def test_search_and_transcripts(spark):
     event = lambda kind, **d: {"type": kind, "details": d, "timestamp": None}
     record = {"instance_id": "i", "agent": "g", "events": [event("read", file_path="a.py"), event("prompt", text="fix\n it"), event("run", command="ls"), event("run", command="x" * 50), event("run"), event("run", tool="t")]}
     assert Q.transcript(record).split("\n") == ["i g", "6 events", "    ▪ read      a.py", "", "▸ fix it", "    $ run   ×4  ls, " + "x" * 39 + "…, +1 more"]
+
+
+def test_weights_and_learned_forms(spark):
+    words = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 1), ("c", "z", 3)], "id string, item string, n int")
+    idf = {"x": math.log(4 / 3) + 1, "y": math.log(2) + 1, "z": math.log(2) + 1}
+    v = W.tf_idf(words, "id", "item")
+    assert {(r.id, r["item"]): pytest.approx(r.v) for r in v.collect()} == {("a", "x"): 2 * idf["x"], ("a", "y"): idf["y"], ("b", "x"): idf["x"], ("c", "z"): 3 * idf["z"]}
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "none")], "a string, b string")
+    got = {(r.a, r.b): r.cosine for r in W.cosines(v, pairs, "id", "item").collect()}
+    assert got == {("a", "b"): pytest.approx(2 * idf["x"] / math.hypot(2 * idf["x"], idf["y"])), ("a", "c"): 0.0}
+    assert [tuple(r) for r in W.vocabulary(words, "id", "item", 2).collect()] == [("x", 2, 2, 0.5), ("y", 1, 1, 0.25)]
+    rows = spark.createDataFrame([(i, i % 10, i % 3, (i % 10) > 4, "pq"[(i // 10) % 2]) for i in range(80)], "id int, u int, w int, passed boolean, grp string")
+    leaves = W.tree_forms(rows, ["u", "w"], "passed", 2).collect()
+    assert sorted((r.n, r.rate) for r in leaves) == [(40, 0.0), (40, 1.0)] and leaves[0].spread == 0.25
+    probe = W.leave_group_out(rows, ["u", "w"], "passed", "grp").collect()
+    assert [(r.held_out, r.n) for r in probe] == [("p", 40), ("q", 40)] and all(r.accuracy >= 0.9 for r in probe)
