@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -129,3 +130,166 @@ def shortest_hops(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: in
         front = front.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
         seen = seen.union(front)
     return spark.createDataFrame([(None,)], "hops int")
+
+
+# Kinds of task, tried in this order; a kind holds if one of its phrases occurs in the lower-cased prompt.
+TASK_TYPES: list[tuple[str, list[str]]] = [
+    ("refactoring", ["refactor", "cleanup", "clean up", "reorganize", "restructure", "rename"]),
+    ("api_usage", ["import", "library", "package", "module", "install", "dependency", "api"]),
+    ("algorithmic", ["implement", "algorithm", "sort", "search", "dynamic programming", "recursion", "complexity", "leetcode", "competitive"]),
+    ("code_generation", ["write a function", "write a program", "implement a function", "create a function", "define a function", "given the following"]),
+    ("bug_fix", ["fix", "bug", "error", "exception", "traceback", "fails", "broken", "incorrect", "wrong", "issue", "problem", "crash"]),
+]
+
+
+def task_type(prompt: Column, given: Column | None = None) -> Column:
+    """The kind of task: the given one unless null or empty, else by the words of the prompt; bug_fix where none occurs."""
+    low = F.lower(F.coalesce(prompt, F.lit("")))
+    out = F.when(F.coalesce(given, F.lit("")) != "", given) if given is not None else F.when(F.lit(False), "")
+    for name, words in TASK_TYPES:
+        out = out.when(any_of(low, words), name)
+    return out.otherwise("bug_fix")
+
+
+# Families of models, tried in this order, by parts of the lower-cased name.
+FAMILIES: list[tuple[str, list[str]]] = [
+    ("Claude", ["claude"]),
+    ("OpenAI", ["gpt", "o1", "o3", "o4"]),
+    ("Gemini", ["gemini"]),
+    ("Llama", ["llama"]),
+    ("Qwen", ["qwen"]),
+    ("DeepSeek", ["deepseek"]),
+    ("Mistral", ["mixtral", "mistral"]),
+    ("Granite", ["granite"]),
+    ("Doubao", ["doubao"]),
+    ("Grok", ["grok"]),
+]
+
+# Scaffolds, tried in this order, by a part of the lower-cased name of a submission.
+SCAFFOLDS: list[tuple[str, str]] = [
+    ("sweagent", "SWE-agent"), ("swe-agent", "SWE-agent"), ("agentless", "Agentless"), ("opendevin", "OpenDevin"), ("openhands", "OpenHands"),
+    ("moatless", "Moatless"), ("autocoderover", "AutoCodeRover"), ("swe-fixer", "SWE-Fixer"), ("sima", "SIMA"), ("aide", "Aide"),
+    ("lingma", "Lingma"), ("hyperagent", "HyperAgent"), ("coder", "CodeR"), ("rag_", "RAG baseline"), ("mentat", "Mentat"), ("factory", "Factory"),
+    ("marscode", "MarsCode"), ("abanteai", "AbanteAI"), ("infant", "Infant"), ("codestory", "CodeStory"), ("ibm", "IBM Research"), ("masai", "MASAI"),
+]
+
+
+def model_family(model: Column) -> Column:
+    low = F.lower(F.coalesce(model, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for name, parts in FAMILIES:
+        out = out.when(any_of(low, parts), name)
+    return out.otherwise("other/unknown")
+
+
+def scaffold(submission: Column, organisation: Column) -> Column:
+    """The scaffold that a submission's name tells of, else its organisation, else `unknown`."""
+    low = F.lower(F.coalesce(submission, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for part, name in SCAFFOLDS:
+        out = out.when(low.contains(part), name)
+    return out.when(F.coalesce(organisation, F.lit("")) != "", organisation).otherwise("unknown")
+
+
+def submission(metadata: Column) -> Column:
+    """struct<has_trajs, model, org, os_model, os_system> of a submission's metadata in JSON; lists of models are joined by commas.
+
+    Null or broken metadata has no trajectories, empty names, and `?` for what is open."""
+    at = lambda path: F.get_json_object(metadata, path)
+    models = F.from_json(at("$.tags.model"), "array<string>")
+    model = F.trim(F.coalesce(F.array_join(models, ", "), at("$.tags.model"), F.lit("")))
+    trajs = F.coalesce(at("$.assets.trajs"), F.lit(""))
+    return F.struct(
+        (~trajs.isin("", "false", "0", "[]", "{}")).alias("has_trajs"), model.alias("model"), F.coalesce(at("$.tags.org"), F.lit("")).alias("org"),
+        F.coalesce(at("$.tags.os_model"), F.lit("?")).alias("os_model"), F.coalesce(at("$.tags.os_system"), F.lit("?")).alias("os_system"),
+    )
+
+
+# References that ground nothing.
+UNGROUNDED = r"(?i)^(none|n/a|na|\.|-|—)$"
+
+
+def grounded(reference: Column) -> Column:
+    """Whether an annotation's reference says something; null and blank ones don't."""
+    s = F.regexp_replace(F.coalesce(reference, F.lit("")), r"^\s+|\s+$", "")
+    return (s != "") & ~s.rlike(UNGROUNDED)
+
+
+# What shows code that runs, and a test, in the text of an issue.
+_CODE_BLOCK = r"(?s)```(?:python|py)?\s*\n(.*?)\n```"
+_RUNNABLE = r"\b(import|from|assert|raise|print|>>>)\b"
+_TEST_NAME = r"(?i)\bdef\s+test_\w+|\btest_\w+\s*\("
+
+
+def issue_features(text: Column) -> Column:
+    """struct<has_reproducer, has_failing_test, issue_length_words, n_code_blocks>; zeros for null and empty text."""
+    t = F.coalesce(text, F.lit(""))
+    blocks = F.regexp_extract_all(t, F.lit(_CODE_BLOCK), 1)
+    words = F.regexp_count(t, F.lit(r"\S+"))
+    return F.struct(
+        F.exists(blocks, lambda b: b.rlike(_RUNNABLE)).cast("int").alias("has_reproducer"), t.rlike(_TEST_NAME).cast("int").alias("has_failing_test"), words.alias("issue_length_words"), F.size(blocks).alias("n_code_blocks")
+    )
+
+
+def lines_starting(text: Column, sign: str, unlike: str) -> Column:
+    """How many lines start with a sign, but not with `unlike`; any line break of Unicode ends a line."""
+    return F.regexp_count(text, F.lit(rf"(?<![^\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])(?!{re.escape(unlike)}){re.escape(sign)}"))
+
+
+def patch_features(patch: Column) -> Column:
+    """struct<loc_delta, n_hunks, n_files_touched> of a unified diff. Half of the marks `@@ ` are hunks, so hunks are counted in full only where headers name their context."""
+    p = F.coalesce(patch, F.lit(""))
+    added, removed = lines_starting(p, "+", "+++"), lines_starting(p, "-", "---")
+    files = F.regexp_count(p, F.lit("\ndiff --git ")) + p.startswith("diff --git ").cast("int")
+    return F.struct((added + removed).alias("loc_delta"), F.floor(F.regexp_count(p, F.lit("@@ ")) / 2).cast("int").alias("n_hunks"), files.alias("n_files_touched"))
+
+
+def fix_location(patch: Column) -> Column:
+    """Where a patch changes code, in words: its first two files, three functions, and four removed lines; empty for a patch without any."""
+    p = F.coalesce(patch, F.lit(""))
+    words = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    stem = lambda f: F.array_join(F.filter(F.split(F.regexp_replace(f, r"(?<=[^/])\.[^./]+$", ""), "/"), lambda x: ~x.isin("", ".")), " ")
+    files = F.transform(F.slice(F.regexp_extract_all(p, F.lit("diff --git a/(.+?) b/"), 1), 1, 2), lambda f: words(stem(f)))
+    functions = F.transform(F.slice(F.array_distinct(F.regexp_extract_all(p, F.lit(r"@@[^@]+@@\s+(?:def |class )?(\w+)"), 1)), 1, 3), words)
+    removed = F.filter(F.transform(F.regexp_extract_all(p, F.lit(r"(?m)^(?!---)-(.*)$"), 1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    part = lambda name, items, joiner: F.when(F.size(items) > 0, F.concat(F.lit(name), F.array_join(items, joiner)))
+    return F.concat_ws(". ", part("Module: ", files, "; "), part("Function: ", functions, ", "), part("Code context: ", F.slice(removed, 1, 4), " | "))
+
+
+# Parts of a lower-cased path, and words of a lower-cased summary of a change, that show an intent, in this order.
+PATH_INTENTS: list[tuple[str, list[str]]] = [
+    ("INTENT_TEST", ["test", "spec", "__tests__", ".test.", ".spec."]),
+    ("INTENT_CONFIGURE", ["config", "settings", ".env", "package.json", "requirements.txt", "setup.py", "pyproject.toml"]),
+    ("INTENT_DOCUMENT", ["readme", "docs", ".md", "docstring", "changelog"]),
+]
+SUMMARY_INTENTS: list[tuple[str, list[str]]] = [
+    ("INTENT_DEBUG", ["fix", "bug", "error", "issue", "broken", "crash", "exception"]),
+    ("INTENT_FEATURE", ["add", "create", "implement", "new", "feature", "function", "method", "class"]),
+    ("INTENT_REFACTOR", ["refactor", "clean", "improve", "optimize", "restructure", "reorganize", "simplify"]),
+    ("INTENT_TEST", ["test", "spec", "assert", "verify", "validate"]),
+    ("INTENT_DOCUMENT", ["document", "comment", "docstring", "readme", "docs"]),
+]
+
+
+def event_intents(kind: Column, path: Column, added: Column, removed: Column, summary: Column, explicit: Column | None = None) -> Column:
+    """All intents of an event in order, without repeats: of its note, its file, the summary of its change, the size of the change, its type; INTENT_OTHER if none."""
+    none = F.lit(None).cast("string")
+    low_path, low_summary, type_ = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(summary, F.lit(""))), F.lower(F.coalesce(kind, F.lit("")))
+    plus, minus = F.coalesce(added, F.lit(0)), F.coalesce(removed, F.lit(0))
+    total = plus + minus
+    rules = [(any_of(low_path, words), name) for name, words in PATH_INTENTS] + [(any_of(low_summary, words), name) for name, words in SUMMARY_INTENTS]
+    rules += [
+        ((plus > 30) & (plus > minus * 1.5), "INTENT_FEATURE"),
+        ((minus > plus * 2) & (minus > 20), "INTENT_REFACTOR"),
+        ((total < 15) & (total > 0) & type_.isin("file_change", "code_change"), "INTENT_DEBUG"),
+        ((total > 20) & (F.abs(plus - minus) < total * 0.3), "INTENT_REFACTOR"),
+        ((plus >= 15) & (plus <= 30) & (plus > minus), "INTENT_FEATURE"),
+        (type_.isin("file_created", "entry_created"), "INTENT_FEATURE"),
+        (type_.isin("file_deleted", "entry_deleted"), "INTENT_REFACTOR"),
+        (type_.isin("file_open", "file_close", "goto", "navigate", "search"), "INTENT_NAVIGATE"),
+    ]
+    seen = F.array(*[F.when(c, name).otherwise(none) for c, name in rules])
+    if explicit is not None:
+        seen = F.concat(F.when(F.coalesce(explicit, F.lit("")) != "", intents(explicit)).otherwise(F.array().cast("array<string>")), seen)
+    found = F.array_distinct(F.filter(seen, lambda x: x.isNotNull()))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("INTENT_OTHER")))
