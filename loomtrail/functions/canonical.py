@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _PATH, action_atom, file_type
 
@@ -83,7 +84,7 @@ def log_atoms(content: Column) -> Column:
     return F.when(F.size(known) > 0, F.array_append(known, F.lit("SUBMIT"))).otherwise(known)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tree_classes(content: pd.Series) -> pd.Series:
     """Names of the steps of a JSON tree: those of its list `actions`, then of each node under `root`, depth first. Not recursive, so any depth."""
 

@@ -45,14 +45,19 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def stated_pairs(rows: DataFrame, key: str, columns: list[str], every: int) -> DataFrame:
-    """Pairs of a query, a row whose key is divisible by `every`, and any other row: key_a, key_b, and each column twice.
+def cross_pairs(asked: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each row of a stated set with each row of a table: key_a, key_b, and each column twice.
 
-    Rows are dealt to blocks, and each query goes to each block once, so a task holds one block."""
+    Rows are dealt to blocks, and each asked one goes to each block once, so a task holds one block."""
     blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda s, block: rows.select(block.alias("_block"), *[F.col(c).alias(f"{c}_{s}") for c in (key, *columns)])
-    asked = side("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.pmod(F.col(f"{key}_a"), F.lit(every)) == 0)
-    return asked.join(side("b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "_block").where(F.col(f"{key}_a") != F.col(f"{key}_b")).drop("_block")
+    side = lambda of, s, block: of.select(block.alias("_block"), *[F.col(c).alias(f"{c}_{s}") for c in (key, *columns)])
+    left = side(asked, "a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(side(rows, "b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "_block").drop("_block")
+
+
+def stated_pairs(rows: DataFrame, key: str, columns: list[str], every: int) -> DataFrame:
+    """Pairs of a query, a row whose key is divisible by `every`, and any other row: key_a, key_b, and each column twice."""
+    return cross_pairs(rows.where(F.pmod(F.col(key), F.lit(every)) == 0), rows, key, columns).where(F.col(f"{key}_a") != F.col(f"{key}_b"))
 
 
 def dtw_similarity(a: list, b: list) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_compare, q_distances, q_learn, q_more, q_sequences, q_statistics, q_text  # noqa: F401
+from . import q_compare, q_distances, q_learn, q_more, q_records, q_sequences, q_statistics, q_text  # noqa: F401
 from .registry import QUERIES, SQL
 
 
