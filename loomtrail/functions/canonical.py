@@ -62,18 +62,17 @@ def editor_atom(action: Column) -> Column:
     return F.when(command == "view", F.concat(F.lit("OPEN_"), kind)).when(command == "create", F.concat(F.lit("CREATE_"), kind)).when(command.isin("str_replace", "insert", "undo_edit"), edit).otherwise("OTHER")
 
 
-def step_atom(action: Column, state: Column) -> Column:
-    """The atom of a step of a trajectory: bare EDIT and NAV by the file that is open, editor calls by their command, other unknown ones OTHER."""
+def step_atom(bare: Column, action: Column, state: Column) -> Column:
+    """The atom of a step of a trajectory from its action's own one: bare EDIT and NAV by the file that is open, editor calls by their command, other unknown ones OTHER."""
     open_file = F.get_json_object(state, "$.open_file")
-    bare = action_atom(action)
     typed = F.when(bare.isin("EDIT", "NAV") & (open_file != "") & (open_file != "n/a"), F.concat(bare, F.lit("_"), file_type(open_file)))
     return F.coalesce(typed, F.when(bare == "UNKNOWN_STR_REPLACE_EDITOR", editor_atom(action)).when(bare.startswith("UNKNOWN_"), "OTHER").otherwise(bare))
 
 
-def message_atom(action: Column) -> Column:
-    """The atom of an assistant's action; two verbs of its own stand for a search and an edit."""
+def message_atom(bare: Column, action: Column) -> Column:
+    """The atom of an assistant's action from its own one; two verbs stand for a search and an edit."""
     verb = F.lower(F.regexp_extract(action, r"^\s*(\S+)", 1))
-    return F.when(verb == "search_repo", "SEARCH").when(verb == "append", "EDIT").otherwise(action_atom(action))
+    return F.when(verb == "search_repo", "SEARCH").when(verb == "append", "EDIT").otherwise(bare)
 
 
 def log_atoms(content: Column) -> Column:
@@ -133,6 +132,7 @@ def canonical_atoms(records: DataFrame, id_: str = "id", format_: str = "format"
         .when(kind == TREE, F.transform(tree_classes(of(TREE)), lambda c: as_step(none, none, F.coalesce(F.try_element_at(classes, c), F.lit("OTHER")))))
     )
     rows = records.select(F.col(id_).alias("id"), kind.alias("format"), F.posexplode(steps).alias("pos", "step"))
-    action, state = F.col("step.action"), F.col("step.state")
-    atom = F.coalesce(F.col("step.atom"), F.when(F.col("format") == MESSAGES, message_atom(action)).otherwise(step_atom(action, state)))
-    return rows.select("id", (F.col("pos") + 1).alias("pos"), atom.alias("atom"))
+    action, bare = F.col("step.action"), F.col("bare")
+    own = rows.withColumn("bare", F.when(F.col("step.atom").isNull(), action_atom(action)))
+    atom = F.coalesce(F.col("step.atom"), F.when(F.col("format") == MESSAGES, message_atom(bare, action)).otherwise(step_atom(bare, action, F.col("step.state"))))
+    return own.select("id", (F.col("pos") + 1).alias("pos"), atom.alias("atom"))

@@ -198,17 +198,19 @@ _PY_RUN = r"^(python3?|pytest|pytest-\d|py\.test|unittest)\b"
 
 
 def action_atom(action: Column) -> Column:
-    """An action line as one atom of a small alphabet."""
+    """An action line as one atom of a small alphabet. The line is bound once, so that the rules don't each derive it again."""
     line = without_env(F.trim(F.split(F.trim(F.coalesce(action, F.lit(""))), "\n").getItem(0)))
-    verb = F.lower(F.regexp_extract(line, r"^(\S+)", 1))
-    rest = F.regexp_replace(line, r"^\S+\s*", "")
-    path = F.regexp_extract(rest, _PATH, 1)
+    words = lambda s: F.struct(s.alias("line"), F.lower(F.regexp_extract(s, r"^(\S+)", 1)).alias("verb"), F.regexp_extract(F.regexp_replace(s, r"^\S+\s*", ""), _PATH, 1).alias("path"))
+    found = F.transform(F.transform(F.array(line), words), lambda s: _line_atom(s["line"], s["verb"], s["path"]))
+    return F.when(F.trim(F.coalesce(action, F.lit(""))) == "", "EMPTY").otherwise(F.get(found, F.lit(0)))
+
+
+def _line_atom(line: Column, verb: Column, path: Column) -> Column:
     typed = lambda name, none: F.concat(F.lit(name), F.when(path == "", none).otherwise(file_type(path)))
     choose = lambda names: F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), verb)
     runtime = F.when(line.startswith("pytest") | line.startswith("py.test"), "RUN_PYTEST_").otherwise("RUN_PYTHON_")
     return (
-        F.when(F.trim(F.coalesce(action, F.lit(""))) == "", "EMPTY")
-        .when(line.startswith("#"), "COMMENT")
+        F.when(line.startswith("#"), "COMMENT")
         .when(F.lower(line).contains("submit"), "SUBMIT")
         .when(line.startswith("exit_cost") | line.startswith("exit_error"), "EXIT_ERROR")
         .when(verb == "open", typed("OPEN_", "UNKNOWN"))
