@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import sqlite3
+from collections.abc import Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +64,71 @@ def to_json_value(text: str) -> object:
         except ValueError:
             return None
         return values if len(values) > 1 else values[0]
+
+
+DUMP_DDL = "session string, part int, pos int, type string, text string, role string, conversation string, context string"
+
+
+def _dumped(most_chars: int):
+    def text_of(prompt: dict) -> str:
+        return str(prompt.get("text") or prompt.get("prompt") or "")
+
+    def one(path: str, raw: str):
+        name = path.rsplit("/", 1)[-1].removesuffix(".txt")
+        value = to_json_value(raw or "")
+        if name.startswith("workspace_"):
+            items, session = value if isinstance(value, list) else [], name.replace("workspace_", "")
+        else:
+            items, session = value.get("conversations", [value]) if isinstance(value, dict) else value if isinstance(value, list) else [], "global"
+        items = [x for x in items or [] if isinstance(x, dict)]
+        asks = {"prompts_raw": items, "conversations_raw": []}.get(name, [x for x in items if "prompt" in x or "text" in x])
+        talks = {"prompts_raw": [], "conversations_raw": items}.get(name, [x for x in items if "messages" in x and not ("prompt" in x or "text" in x)])
+        rows = [(0, "prompt", text_of(x), "user", None, json.dumps(x["context"]) if "context" in x else None) for x in asks]
+        for talk in talks:
+            for m in talk.get("messages") or []:
+                if isinstance(m, dict):
+                    role, text = str(m.get("role", "unknown")), str(m.get("content", ""))[:most_chars]
+                    rows.append((1, "prompt" if role == "user" else "other", text, role, str(talk.get("id", "")), None))
+        return [(session, part, pos, *rest) for pos, (part, *rest) in enumerate(rows)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [r for path, raw in zip(f["path"], f["value"], strict=True) for r in one(path, raw)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in DUMP_DDL.split(", ")])
+
+    return run
+
+
+def read_dumps(spark: SparkSession, folder: str, most_chars: int = 4000) -> DataFrame:
+    """session, pos, type, text, role, conversation, context of a folder of text dumps: `prompts_raw.txt` and `conversations_raw.txt` are the session
+    `global`, each `workspace_NAME.txt` is the session NAME.
+
+    A dump is one JSON value, or one a line; prompts come first, then messages, cut to `most_chars` as the model does. Files that
+    can't be parsed, and items that are no objects, are passed over. A file is read into one row."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "{prompts_raw,conversations_raw,workspace_*}.txt").text(folder).select(F.input_file_name().alias("path"), "value")
+    order = Window.partitionBy("session").orderBy("part", "pos")
+    return files.mapInPandas(_dumped(most_chars), DUMP_DDL).withColumn("pos", F.row_number().over(order)).drop("part")
+
+
+def store_layout(path: str) -> tuple[str, list[str]]:
+    """(`sqlite`, its files) for a store file, a user folder or a folder of store files; (`dumps`, [folder]) for any other folder.
+
+    Of a user folder the global store comes first, then those of the workspaces in order. A path that is not there is an error."""
+    place = Path(path).expanduser()
+    if place.is_file() and place.suffix == ".vscdb":
+        return "sqlite", [str(place)]
+    if not place.is_dir():
+        raise FileNotFoundError(f"no chat store at {path}")
+    stores = [*place.glob("globalStorage/state.vscdb"), *sorted(place.glob("workspaceStorage/*/state.vscdb"))] or sorted(place.glob("*.vscdb"))
+    return ("sqlite", [str(s) for s in stores]) if stores else ("dumps", [str(place)])
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A chat store of any layout: the rows of `read_dumps`, or store, composer, pos, id, bubble of each SQLite file.
+
+    SQLite files are read on the driver, so a store must fit there; they are files of one user's machine."""
+    kind, places = store_layout(path)
+    if kind == "dumps":
+        return read_dumps(spark, places[0])
+    parts = [ordered_bubbles(read_key_values(spark, p)).withColumn("store", F.lit(p)) for p in places]
+    return functools.reduce(DataFrame.unionByName, parts).select("store", "composer", "first_text", "pos", "id", "bubble")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,3 +134,14 @@ def export_sessions(records: DataFrame, path: str, id_: str = "instance_id") ->
     """A folder for each session with its events as JSON lines, in order, for an index of texts."""
     events = records.select(F.col(id_).alias("session"), F.posexplode("events").alias("pos", "event")).select("session", "pos", "event.*")
     events.repartition("session").sortWithinPartitions("session", "pos").write.partitionBy("session").mode("overwrite").json(path)
+
+
+def loader(name: str):
+    """The reader of a kind of records, called with (spark, path); the layouts of code tasks take a table instead. Unknown names are an error."""
+    from . import chat_store, formats, sessions
+
+    readers = {"sessions": sessions.read_sessions, "trajectories": sessions.read_trajectories, "tool_calls": sessions.read_tool_calls, "chat_store": chat_store.read_store, "records": formats.load}
+    readers |= {layout: functools.partial(code_task_traces, layout=layout) for layout in CODE_TASKS}
+    if name not in readers:
+        raise ValueError(f"unknown loader: {name}; there are {', '.join(sorted(readers))}")
+    return readers[name]

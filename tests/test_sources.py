@@ -129,3 +129,41 @@ def test_export_of_each_format_replaces_what_was_there(spark, tmp_path, kind):
         formats.export(bad, path)
     assert formats.load(spark, path, schema=None if kind == "parquet" else schema).count() == 3
     assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".old")] == []
+
+
+def test_text_dumps_and_layouts(spark, tmp_path):
+    import json
+    import sqlite3
+
+    from loomtrail.sources import chat_store as S
+    from loomtrail.sources import loaders as L
+
+    d = tmp_path / "dump"
+    d.mkdir()
+    (d / "conversations_raw.txt").write_text(json.dumps({"conversations": [{"id": "c1", "messages": [{"role": "user", "content": "hi"}, 7, {"role": "ai", "content": "x" * 9}]}, {"id": 2}, "no"]}))
+    (d / "prompts_raw.txt").write_text('{"text": "first", "context": [1]}\n{"prompt": "second"}\n')
+    (d / "workspace_w1.txt").write_text(json.dumps([{"prompt": "p", "messages": []}, {"messages": [{"content": None}]}, {"other": 1}, 3]))
+    (d / "workspace_w2.txt").write_text("not json")
+    (d / "workspace_w3.txt").write_text("")
+    (d / "readme.txt").write_text("[]")
+    got = [tuple(r) for r in S.read_store(spark, str(d)).select("session", "pos", "type", "text", "role", "conversation").orderBy("session", "pos").collect()]
+    assert got == [
+        ("global", 1, "prompt", "first", "user", None), ("global", 2, "prompt", "second", "user", None), ("global", 3, "prompt", "hi", "user", "c1"), ("global", 4, "other", "x" * 9, "ai", "c1"),
+        ("w1", 1, "prompt", "p", "user", None), ("w1", 2, "other", "None", "unknown", ""),
+    ]
+    assert {r.text for r in S.read_dumps(spark, str(d), 3).where("type = 'other' AND session = 'global'").collect()} == {"xxx"}
+    for place in ("user/globalStorage", "user/workspaceStorage/b", "user/workspaceStorage/a"):
+        (tmp_path / place).mkdir(parents=True)
+        con = sqlite3.connect(tmp_path / place / "state.vscdb")
+        con.execute("CREATE TABLE cursorDiskKV (key TEXT, value TEXT)")
+        con.execute("INSERT INTO cursorDiskKV VALUES ('composerData:c', '{}'), ('bubbleId:c:1', '{\"text\": \"t\"}')")
+        con.commit()
+        con.close()
+    kind, files = S.store_layout(str(tmp_path / "user"))
+    assert kind == "sqlite" and [f.split("/")[-2] for f in files] == ["globalStorage", "a", "b"]
+    assert S.store_layout(files[0]) == ("sqlite", [files[0]]) and S.read_store(spark, str(tmp_path / "user")).where("id = '1'").count() == 3
+    with pytest.raises(FileNotFoundError):
+        S.store_layout(str(tmp_path / "none"))
+    assert L.loader("chat_store") is S.read_store and L.loader("mbpp")(spark.createDataFrame([("1", "t", "c")], "task_id string, text string, code string")).count() == 1
+    with pytest.raises(ValueError):
+        L.loader("other")
