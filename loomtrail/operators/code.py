@@ -165,6 +165,38 @@ def imports_of(source: str) -> list[str]:
     return sorted(found)
 
 
+# How functions and classes are named in sources that are not Python, tried in this order.
+NAMES = [
+    re.compile(r"\bfunction\s+([A-Za-z_][\w]*)\s*\("),
+    re.compile(r"\b([A-Za-z_][\w]*)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>"),
+    re.compile(r"\b(?:exports|module\.exports)\.([A-Za-z_][\w]*)\s*="),
+    re.compile(r"\bclass\s+([A-Za-z_][\w]*)\b"),
+]
+
+
+def function_names(source: str | None, path: str | None = None) -> list[str]:
+    """Names of functions and classes, each once: of a Python file level by level, else, or where it has none, by patterns, one after the other."""
+    tree = parsed(source) if (path or "").endswith(".py") else None
+    found = [n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))] if tree else []
+    return list(dict.fromkeys(found or [x for p in NAMES for x in p.findall(source or "")]))
+
+
+FUNCTIONS_DDL = "id string, functions array<string>"
+
+
+def functions_of_events(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over (id, events array<struct<type, file_path, before, after>>): names in the new, else the old source of each event, then its type if that tells of a function."""
+    for frame in frames:
+        out = []
+        for events in frame["events"]:
+            names: list[str] = []
+            for e in events if events is not None else []:
+                names += function_names(e["after"] or e["before"], e["file_path"])
+                names += [e["type"]] if "function" in (e["type"] or "").lower() else []
+            out.append(names)
+        yield pd.DataFrame({"id": frame["id"], "functions": out})
+
+
 def code_tokens(source: str, most: int | None = None) -> list[str]:
     """Node types in reading order where the source parses, else words and signs."""
     try:

@@ -220,3 +220,12 @@ def cross_dataset_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = certificates(spark, sf_dir)
     pairs = D.cross_pairs(c.where((F.col("agent") < 2) & (F.pmod("id", F.lit(EVERY)) == 0)), c.where("agent >= 2"), "id", ["ops"])
     return pairs.select("id_a", "id_b", rounded(D.jaccard_distance(F.col("ops_a"), F.col("ops_b"))).alias("distance"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'A' ELSE '' END AS functions FROM documents")
+def function_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and classes that a change of code for each document names."""
+    after = F.element_at(F.array(*[F.lit(c[1]) for c in CHANGES]), (F.col("doc_id") % 3 + 1).cast("int"))
+    event = F.struct(F.lit("edit").alias("type"), F.lit("m.py").alias("file_path"), F.lit(None).cast("string").alias("before"), after.alias("after"))
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array(event).alias("events")).mapInPandas(X.functions_of_events, X.FUNCTIONS_DDL)
+    return found.select(F.col("id").cast("long").alias("doc_id"), F.array_join("functions", ",").alias("functions"))

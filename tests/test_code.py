@@ -73,3 +73,13 @@ def test_frames(spark):
     got = {r.id: r for r in spark.createDataFrame(given, changes).mapInPandas(code.scoped_certificates, code.SCOPED_DDL).collect()}
     assert set(got) == {"1", "4"} and got["1"].file_module == "a/b" and got["1"].scopes_touched == ["FunctionDef:f"] and got["1"].scope_types == ["FunctionDef"]
     assert got["1"].hunk_count == 2 and got["4"].scopes_touched == [] and got["4"].lines_added == 1 and got["4"].file_module == "m.py" and got["4"].error is None
+
+
+def test_function_names(spark):
+    assert code.function_names("class A:\n  def m(self): pass\ndef f(): pass\n", "x.py") == ["A", "f", "m"]
+    js = "class K {}\nconst g = async (a) => 1; function f(x) {}\nmodule.exports.h = 2; function f (y) {}"
+    assert code.function_names(js, "x.js") == ["f", "g", "h", "K"] == code.function_names(js, "x.py") and code.function_names(None) == []
+    ddl = "id string, events array<struct<type:string,file_path:string,before:string,after:string>>"
+    rows = [("1", [("edit", "a.py", "def old(): 1", "def new(): 1"), ("function_call", None, None, None), (None, "a.py", "def old(): 1", "")]), ("2", None)]
+    got = spark.createDataFrame(rows, ddl).mapInPandas(code.functions_of_events, code.FUNCTIONS_DDL).collect()
+    assert {r.id: list(r.functions) for r in got} == {"1": ["new", "function_call", "old"], "2": []}
