@@ -64,3 +64,57 @@ def leave_group_out(rows: DataFrame, columns: list[str], label: str, group: str)
         hit = model.transform(scaler.transform(_features(test, columns, label))).agg(F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double")), F.avg("label")).first()
         out.append((str(name), hit[0], hit[1], max(hit[2], 1 - hit[2])))
     return rows.sparkSession.createDataFrame(out, "held_out string, n long, accuracy double, majority double")
+
+
+PROBE_DDL = "n long, skipped long, accuracy double, spread double, majority double, lift double"
+
+
+def _fitted(train: DataFrame, columns: list[str], label: str, n: int):
+    """A logistic model with the penalty |w|² / 2 on the sum of losses, intercept free."""
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(regParam=1 / n, standardization=False, maxIter=2000, tol=1e-9).fit(_features(train, columns, label))
+
+
+def cross_validated(rows: DataFrame, columns: list[str], label: str, id_: str, folds: int = 5, seed: int = 17) -> DataFrame:
+    """n, skipped, accuracy, spread, majority, lift: how well counts tell a class, from 0 up, by models of the other folds; one row.
+
+    Folds come from a hash of the id, so a row's fold doesn't depend on the others. Rows with a null label are skipped and counted. Lift is
+    the share of the room above the commoner class that is won. Null with one class or fewer than two rows a fold. A model is fitted for each fold."""
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(id_)), F.lit(folds)).cast("int").alias("_fold")
+    data = stored(rows.select(F.col(label).cast("double").alias(label), *columns, fold), "probe")
+    sizes = {r[0]: r[1] for r in data.groupBy(label).count().collect()}  # a row a class
+    skipped = sizes.pop(None, 0)
+    n = sum(sizes.values())
+    if len(sizes) < 2 or n < 2 * folds:
+        return rows.sparkSession.createDataFrame([(n, skipped, None, None, None, None)], PROBE_DDL)
+    known, scores = data.where(F.col(label).isNotNull()), []
+    for k in range(folds):
+        train, test = known.where(F.col("_fold") != k), known.where(F.col("_fold") == k)
+        held = train.groupBy(label).count().collect()  # a row a class
+        if len(held) < 2 or test.isEmpty():
+            continue
+        model = _fitted(train, columns, label, sum(r[1] for r in held))
+        scores.append(model.transform(_features(test, columns, label)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+    majority = max(sizes.values()) / n
+    mean = sum(scores) / len(scores) if scores else None
+    spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
+    return rows.sparkSession.createDataFrame([(n, skipped, mean, spread, majority, (mean - majority) / (1 - majority) if scores else None)], PROBE_DDL)
+
+
+def ranked_columns(rows: DataFrame, columns: list[str], label: str) -> list[tuple[str, float]]:
+    """Columns by the sum over classes of their absolute weights in a model of all rows with a label, the heaviest first, ties in their order."""
+    known = stored(rows.where(F.col(label).isNotNull()).select(label, *columns), "ranked")
+    weights = abs(_fitted(known, columns, label, max(known.count(), 1)).coefficientMatrix.toArray()).sum(0)
+    return sorted(zip(columns, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def ablation(rows: DataFrame, columns: list[str], label: str, id_: str, drops: list[int], folds: int = 5) -> DataFrame:
+    """dropped and the columns of `cross_validated`, without the heaviest columns; as many as are named, but at least one column stays."""
+    order = [c for c, _ in ranked_columns(rows, columns, label)]
+    out = None
+    for k in drops:
+        left = [c for c in columns if c not in order[: min(k, len(columns) - 1)]]
+        one = cross_validated(rows, left, label, id_, folds).select(F.lit(k).alias("dropped"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -51,3 +51,27 @@ def transfer_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = traces(spark, sf_dir).groupBy("id", "agent").pivot("type", ["click", "view", "signup", "error"]).count().fillna(0)
     rows = counts.join(outcomes(spark, sf_dir).select("id", "passed"), "id")
     return W.leave_group_out(rows, ["click", "view", "signup", "error"], "passed", "agent")
+
+
+def _outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = traces(spark, sf_dir).groupBy("id", "agent").pivot("type", ["click", "view", "signup", "error"]).count().fillna(0)
+    return counts.join(outcomes(spark, sf_dir).select("id", F.col("passed").cast("int").alias("passed")), "id")
+
+
+@query()
+def success_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether counts of event types tell the outcome of a session."""
+    return W.cross_validated(_outcome_counts(spark, sf_dir), ["click", "view", "signup", "error"], "passed", "id")
+
+
+@query()
+def arm_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether counts of event types tell which of two agents a session comes from."""
+    rows = _outcome_counts(spark, sf_dir).where("agent < 2")
+    return W.cross_validated(rows, ["click", "view", "signup", "error"], "agent", "id")
+
+
+@query()
+def ablation_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes without the one and the two event types that weigh most."""
+    return W.ablation(_outcome_counts(spark, sf_dir), ["click", "view", "signup", "error"], "passed", "id", [0, 1, 2])

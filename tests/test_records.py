@@ -117,3 +117,32 @@ def test_signal_against_null_equals_brute_force(spark):
     assert got.signal_mean == pytest.approx(np.mean(signal)) and got.null_mean == pytest.approx(np.mean(null))
     assert got.diff_low == pytest.approx(np.percentile(diff, 2.5)) and got.diff_high == pytest.approx(np.percentile(diff, 97.5))
     assert got.p_positive == pytest.approx((diff > 0).mean()) and got.signal_mean > 0.7 and got.useful == (np.percentile(diff, 2.5) > 0)
+
+
+def test_probes_equal_a_plain_model(spark):
+    from loomtrail.operators import weights as W
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, size=(80, 2)).astype(float)
+    y = (x[:, 0] + rng.normal(size=80) > 2.5).astype(int)
+    df = spark.createDataFrame([(k, float(x[k, 0]), float(x[k, 1]), int(y[k])) for k in range(80)] + [(99, 1.0, 1.0, None)], "id long, a double, b double, y int")
+    fold = {r[0]: r[1] for r in df.select("id", F.pmod(F.xxhash64(F.lit(17), F.col("id")), F.lit(4))).collect()}
+    f = np.array([fold[k] for k in range(80)])
+
+    def predict(train, test, columns):
+        z, w = np.c_[x[:, columns], np.ones(80)], np.zeros(len(columns) + 1)
+        penalty = np.diag([1.0] * len(columns) + [0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z[train] @ w))
+            w -= np.linalg.solve(z[train].T * (p * (1 - p)) @ z[train] + penalty, z[train].T @ (p - y[train]) + penalty @ w)
+        return (z[test] @ w > 0).astype(int)
+
+    want = {c: np.mean([(predict(f != k, f == k, c) == y[f == k]).mean() for k in range(4)]) for c in ((0, 1), (1,))}
+    got = W.cross_validated(df, ["a", "b"], "y", "id", 4).first()
+    base = max(y.mean(), 1 - y.mean())
+    assert (got.n, got.skipped) == (80, 1) and got.accuracy == pytest.approx(want[0, 1]) and got.majority == pytest.approx(base)
+    assert got.lift == pytest.approx((want[0, 1] - base) / (1 - base)) and [c for c, _ in W.ranked_columns(df, ["b", "a"], "y")] == ["a", "b"]
+    dropped = {r.dropped: r.accuracy for r in W.ablation(df, ["a", "b"], "y", "id", [0, 1, 5], 4).collect()}
+    assert dropped == pytest.approx({0: want[0, 1], 1: want[(1,)], 5: want[(1,)]})
+    for few in (df.where("y = 1"), df.limit(3), df.limit(0)):
+        assert W.cross_validated(few, ["a"], "y", "id", 4).first().accuracy is None
