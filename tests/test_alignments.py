@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,19 @@ def odd(spark, tmp_path_factory):
     return str(at)
 
 
+def equals_sql(spark, odd, name):
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{odd}/events.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()[name])
+    got = catalog.queries()[name](spark, odd).select(*want.columns)
+    plain = lambda rows: sorted(str([None if v is None else round(v, 6) + 0.0 for v in x]) for x in rows)
+    assert plain(got.collect()) == plain(want.fetchall())
+    assert "levenshtein" not in got._jdf.queryExecution().toString()  # none for each pair
+
+
+def test_token_edit_distance_of_odd_types(spark, odd):
+    equals_sql(spark, odd, "token_edit_distance")
 
 
 
