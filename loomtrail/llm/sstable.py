@@ -37,7 +37,7 @@ from .common import filesystem, fresh_path, prepare, stored, utf8_bytes
 from .tokens import tokenizer_path, vocabulary
 
 END_ID, RESTART = 2, 16
-BLOCK_TOKENS, BATCH_CHARS, SHARD_BYTES = 1 << 16, 1 << 20, 32 << 20
+BLOCK_TOKENS, BATCH_CHARS, SHARD_BYTES = 1 << 16, 1 << 22, 32 << 20
 MAGIC, FOOTER = b"LTSST1\0\0", struct.Struct("<QQQQQQII8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
@@ -175,8 +175,8 @@ def _write(folder: str, path: str, end_id: int):
         pending: list[tuple[int | None, str]] = []
 
         def flush():
-            for (doc, _), raw in zip(pending, vocab.ids([t for _, t in pending]), strict=True):
-                writer.add(key_of(doc), np.concatenate([np.frombuffer(raw, "<u4"), end]))
+            for (doc, _), ids in zip(pending, vocab.ids([t for _, t in pending]), strict=True):
+                writer.add(key_of(doc), np.concatenate([ids, end]))
             pending.clear()
 
         name, chars = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", 0

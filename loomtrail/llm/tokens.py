@@ -24,6 +24,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -43,6 +44,11 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȳ"
 _PLAIN = re.compile(rf"[\x00-\x1b\x20-\x7f{_LETTERS}]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+").findall
 _WORD = re.compile(rf" [{_LETTERS}]+").fullmatch
+_WORDS = re.compile(rf"[ {_LETTERS}]*").fullmatch
+# The same splits on the UTF-8 bytes of plain texts, where all bytes beyond ASCII are of letters.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.array([_LETTER if b > 127 or chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SPACE if chr(b).isspace() else _OTHER for b in range(256)], np.uint8)
+WORDS_A_CALL = 32  # the library merges short texts faster, and each text has its own cost
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,17 +57,58 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def starts(raw: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts begin: raw has their UTF-8 bytes one after another, firsts where each text begins."""
+    n = len(raw)
+    kind, code = _KIND[raw], np.append(raw, np.zeros(2, np.uint8))
+    first, begin = np.zeros(n + 3, bool), np.ones(n + 3, bool)
+    first[firsts] = first[n:] = True
+    begin[1:n] = kind[1:] != kind[:-1]
+    begin |= first
+    # the last of some white space before something else stands alone, or if it is a blank, goes with what follows
+    space = kind == _SPACE
+    after = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n]) + 1
+    begin[after - 1] = True
+    begin[after[raw[after - 1] == 32]] = False
+    # 's 't 'm 'd 're 've 'll
+    mark = np.flatnonzero((raw == 39) & begin[:n])
+    mark = mark[~first[mark + 1]]
+    a, b = code[mark + 1], code[mark + 2]
+    short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+    long = ~first[mark + 2] & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))
+    begin[mark[short | long] + 1] = False
+    begin[mark[short] + 2] = True
+    begin[mark[long] + 3] = True
+    return np.flatnonzero(begin[:n])
+
+
 class Vocabulary:
     """The tokenizer of a file, by pre-tokens. Holds at most CACHE_ENTRIES encoded pre-tokens."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, decoders, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            described = json.load(f)
+        self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
+        # Where no token reaches from a word into the next one, the library's model takes joined words without splitting them again.
+        model, bare = described["model"], decoders.ByteLevel()
+        pieces = model["vocab"]
+        settings = "unk_token", "dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"
+        other = described.get("normalizer") or "Ġ" not in pieces or any(model.get(k) for k in settings)
+        reaching = (bare.decode([p]).strip("\ufffd") for p in pieces if re.search("[^Ġ]Ġ", p))  # but for characters that are cut
+        self.apart = not other and not any(map(_WORDS, reaching))
+        self.leads = np.zeros(max(pieces.values(), default=0) + 1, bool)
+        self.leads[[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
+        self.joined = Tokenizer(self.tokenizer.model)
+        self.joined.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text, a special token's string as one."""
@@ -93,33 +140,67 @@ class Vocabulary:
                 out[p] = e.ids
         return out
 
-    def packed(self, pretokens: Iterable[str]) -> dict[str, bytes]:
-        """Ids of distinct pre-tokens as little-endian unsigned 32-bit integers, cut from the ids of many words at once."""
-        out: dict[str, bytes] = {}
+    def learn(self, pretokens: Iterable[str]) -> None:
+        """Encode pre-tokens that aren't known yet: a number for each, by which `ends` bounds its ids in `pool`."""
         words, rest = [], []
         for p in pretokens:
             (words if _WORD(p) else rest).append(p)
+        pools, ends = [self.pool], [self.ends]
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            raw, edge = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))).tolist()
-            for i, p in enumerate(some):
-                out[p] = raw[edge[i] : edge[i + 1]]
+            if self.apart:
+                calls = ["".join(some[i : i + WORDS_A_CALL]) for i in range(0, len(some), WORDS_A_CALL)]
+                ids = np.array([i for e in self.joined.encode_batch_fast(calls, add_special_tokens=False) for i in e.ids], "<u4")
+                edge = np.append(np.flatnonzero(self.leads[ids]), len(ids))
+            else:
+                e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+                ids, edge = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))
+            if len(edge) != len(some) + 1 or edge[0]:
+                raise ValueError("joined words don't come apart")
+            pools.append(ids)
+            ends.append(edge[1:] + ends[-1][-1])
         for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                out[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return out
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+            some = [e.ids for e in self.tokenizer.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)]
+            pools.append(np.array([i for ids in some for i in ids], "<u4"))
+            ends.append(np.cumsum([len(ids) for ids in some]) + ends[-1][-1])
+        self.pool, self.ends = np.concatenate(pools), np.concatenate(ends)
+        self.known.update(zip(chain(words, rest), range(len(self.known), len(self.ends) - 1)))
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids, unsigned 32-bit. Plain texts are split and put together as arrays, without an object a pre-token."""
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        split = [self.split(t) for t in texts]
-        self.known.update(self.packed(set().union(*split).difference(self.known)))
-        get = self.known.__getitem__
-        for tokens in split:
-            yield b"".join(map(get, tokens))
+            self._forget()
+        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        odd = [self.split(t) for t, p in zip(texts, plain, strict=True) if not p]
+        parts = [t.encode("utf-8") for t, p in zip(texts, plain, strict=True) if p]
+        data, edge = b"".join(parts), np.cumsum([0, *map(len, parts)])
+        begins = starts(np.frombuffer(data, np.uint8), edge)
+        found = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(which < 0)
+        fresh = [names[i] for i in new.tolist()]
+        self.learn(set(fresh).union(*odd).difference(self.known))
+
+        def numbers(pretokens: list[str]) -> np.ndarray:
+            return np.fromiter(map(self.known.__getitem__, pretokens), np.int64, len(pretokens))
+
+        def put(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = self.ends[which]
+            count = self.ends[which + 1] - at
+            ends = np.cumsum(np.append(0, count))
+            return self.pool[np.repeat(at - ends[:-1], count) + np.arange(ends[-1])], ends
+
+        which[new] = numbers(fresh)
+        ids, ends = put(which[found.indices.to_numpy()])
+        edge = ends[np.searchsorted(begins, edge)].tolist()
+        of_plain, of_odd = zip(edge[:-1], edge[1:], strict=True), iter(odd)
+        for p in plain:
+            if p:
+                a, b = next(of_plain)
+                yield ids[a:b]
+            else:
+                yield put(numbers(next(of_odd)))[0]
 
 
 @cache

@@ -1,3 +1,4 @@
+import random
 from zlib import crc32
 
 import numpy as np
@@ -81,3 +82,44 @@ def test_shard_file_of_many_blocks(tmp_path):
         assert len(r.index) > 1
         assert [(sstable.id_of(k), ids.tolist()) for k, _, ids in r] == [(d, ids.tolist()) for d, ids in rows]
         assert len(r.get(30)) == 2 and r.get(31) == [] and r.get(-5)[0].tolist() == rows[0][1].tolist()
+
+
+def test_plain_texts_are_split_as_arrays(library, monkeypatch):
+    """No string a pre-token is made, and a text's ids don't depend on its neighbours; the library gets new words in short calls."""
+    vocab = tokens.Vocabulary(tokens.tokenizer_path())
+    assert vocab.apart
+    plain = [t or "" for t in TEXTS if tokens._PLAIN.fullmatch(t or "") and "<|" not in (t or "")]
+    monkeypatch.setattr(vocab, "_split", lambda text: pytest.fail("a plain text was split into strings"))
+    for texts in (plain, plain[::-1], ["", ""], []):
+        assert [np.asarray(x).tolist() for x in vocab.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_array_splits_equal_the_regular_expression():
+    draw = random.Random(7)
+    for _ in range(5000):
+        texts = ["".join(draw.choices("'''  \n\tstmdrevlaéªȳZ09.!\x00\x0b\x7f", k=draw.randrange(12))) for _ in range(draw.randrange(6))]
+        parts = [t.encode() for t in texts]
+        data, edge = b"".join(parts), np.cumsum([0, *map(len, parts)])
+        at = [*tokens.starts(np.frombuffer(data, np.uint8), edge).tolist(), len(data)]
+        assert [data[a:b].decode() for a, b in zip(at, at[1:])] == [p for t in texts for p in tokens._SPLIT(t)], texts
+
+
+def test_ids_after_the_cache_is_emptied(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 5)
+    vocab = tokens.Vocabulary(tokens.tokenizer_path())
+    for texts in ([t or "" for t in TEXTS], ["one two three four five six seven", "½ ²"], ["one two", "", TEXTS[3]]):
+        assert [x.tolist() for x in vocab.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_that_a_token_could_join_are_split_by_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    crossing = models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "aĠ": 3, "Ġb": 4}, merges=[("a", "Ġ"), ("Ġ", "b")])
+    whole = models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "Ġab": 3}, merges=[], ignore_merges=True)
+    for i, model in enumerate((crossing, whole)):
+        small = Tokenizer(model)
+        small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        small.save(str(path := tmp_path / f"{i}.json"))
+        vocab, text = tokens.Vocabulary(str(path)), "a a b ab ba a"
+        assert not vocab.apart
+        assert next(vocab.ids([text])).tolist() == small.encode(text).ids
